@@ -7,19 +7,41 @@ Where a log says that a fetch failed, the state of the load before stands.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 #: Calendars of up to this many loads are broadcast; larger ones are joined by day.
 CALENDAR_BROADCAST_ROWS = 10_000
 
 
-def load_calendar(loads: DataFrame) -> DataFrame:
-    """``(load_id, seq, started_at, ends_at, next_load_id)``, one row per start time, ``seq`` from 1 in time order.
+CALENDAR = T.StructType(
+    [T.StructField("load_id", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("started_at", T.TimestampNTZType()),
+     T.StructField("ends_at", T.TimestampNTZType()), T.StructField("next_load_id", T.IntegerType())]
+)
 
-    Loads without a start time are left out; of several loads with one start time the largest ``load_id`` stays.
-    The window has no partition key: a calendar has one row per delivery, not per record.
+
+def load_calendar(loads: DataFrame) -> tuple[DataFrame, bool]:
+    """``(load_id, seq, started_at, ends_at, next_load_id)``, one row per start time, ``seq`` from 1 in time order; and
+    whether it is small.
+
+    Loads without a start time are left out; of several loads with one start time the largest ``load_id`` stays. The
+    calendar has one row per delivery, not per record: up to ``CALENDAR_BROADCAST_ROWS`` loads are read once, here, and
+    become a broadcast local relation in every plan that uses them. Beyond that it stays a distributed table.
     """
-    one = loads.where(F.col("started_at").isNotNull() & F.col("load_id").isNotNull()).groupBy("started_at").agg(F.max("load_id").alias("load_id"))
+    one = (
+        loads.select(F.col("load_id").cast("int").alias("load_id"), F.col("started_at").cast("timestamp_ntz").alias("started_at"))
+        .where("started_at is not null and load_id is not null")
+        .groupBy("started_at")
+        .agg(F.max("load_id").alias("load_id"))
+    )
+    rows = one.limit(CALENDAR_BROADCAST_ROWS + 1).collect()
+    if len(rows) <= CALENDAR_BROADCAST_ROWS:
+        rows = sorted((r["started_at"], r["load_id"]) for r in rows)
+        after = [*rows[1:], (None, None)]
+        columns = zip(*[(i, k + 1, t, t2, i2) for k, ((t, i), (t2, i2)) in enumerate(zip(rows, after, strict=True))], strict=True) if rows else [[]] * 5
+        kinds = [pa.int32(), pa.int32(), pa.timestamp("us"), pa.timestamp("us"), pa.int32()]
+        arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+        return F.broadcast(loads.sparkSession.createDataFrame(pa.table(arrays, CALENDAR.fieldNames()), CALENDAR)), True
     w = W.orderBy("started_at")
     return one.select(
         "load_id",
@@ -27,54 +49,49 @@ def load_calendar(loads: DataFrame) -> DataFrame:
         "started_at",
         F.lead("started_at").over(w).alias("ends_at"),
         F.lead("load_id").over(w).alias("next_load_id"),
-    )
+    ), False
 
 
 def assign_load(rows: DataFrame, loads: DataFrame, at: str = "fetched_at", seq_col: str = "load_seq") -> DataFrame:
     """Add ``seq_col``: the calendar position of the load each row belongs to (an as-of join).
 
-    Rows without a time, or before the first load, are dropped. Repeated rows stay repeated. The calendar's size is
-    checked first: up to ``CALENDAR_BROADCAST_ROWS`` rows it is broadcast and matched by interval, beyond that both
-    sides are joined by day, where a day's rows also see the last load that began before the day.
+    Rows without a time, or before the first load, are dropped. Repeated rows stay repeated. A small calendar is
+    broadcast and matched by interval; with a large one both sides are joined by day, where a day's rows also see the
+    last load that began before the day.
     """
-    cal = load_calendar(loads).select(F.col("seq").alias(seq_col), F.col("started_at").alias("__from"), F.col("ends_at").alias("__to"))
-    if loads.limit(CALENDAR_BROADCAST_ROWS + 1).count() <= CALENDAR_BROADCAST_ROWS:
-        inside = (F.col(at) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(at) < F.col("__to")))
-        return rows.join(F.broadcast(cal), inside, "inner").drop("__from", "__to")
-    return _assign_by_day(rows, cal, at, seq_col)
+    return _assign(rows, *load_calendar(loads), at, seq_col)
 
 
-def _assign_by_day(rows: DataFrame, cal: DataFrame, at: str, seq_col: str) -> DataFrame:
+def _assign(rows: DataFrame, calendar: DataFrame, small: bool, at: str, seq_col: str) -> DataFrame:
+    cal = calendar.select(F.col("seq").alias(seq_col), F.col("started_at").alias("__from"), F.col("ends_at").alias("__to"))
+    if small:
+        inside = (F.col(at) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(at) < F.col("__to")))
+        return rows.join(F.broadcast(cal), inside, "inner").drop("__from", "__to")
     day = rows.withColumn("__day", F.to_date(at))
     starts = cal.select(seq_col, F.to_date("__from").alias("__day"), "__from")
-    # The last load that began before each day with rows: one row per day, so the window stays small.
-    last_of_day = starts.groupBy("__day").agg(F.max(seq_col).alias("__last"))
-    days = day.select("__day").distinct().join(last_of_day, "__day", "full_outer")
-    before = days.select(
-        "__day", F.max("__last").over(W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)).alias(seq_col)
-    ).select("__day", seq_col, F.lit(None).cast("timestamp").alias("__from"))
-    spans = starts.select("__day", seq_col, "__from").unionByName(before.where(F.col(seq_col).isNotNull()))
+    # The last load that began before each day: one row per day, so the window stays small.
+    days = day.select("__day").distinct().join(starts.groupBy("__day").agg(F.max(seq_col).alias("__last")), "__day", "full_outer")
+    before = days.select("__day", F.max("__last").over(W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)).alias(seq_col))
+    before = before.where(F.col(seq_col).isNotNull()).withColumn("__from", F.lit(None).cast("timestamp_ntz"))
+    spans = starts.select("__day", seq_col, "__from").unionByName(before)
     spans = spans.groupBy("__day").agg(F.sort_array(F.collect_list(F.struct(seq_col, "__from"))).alias("__spans"))
-    hit = F.element_at(
-        F.filter("__spans", lambda s: s["__from"].isNull() | (s["__from"] <= F.col(at))), -1
-    )
-    found = day.join(spans, "__day").where(F.exists("__spans", lambda s: s["__from"].isNull() | (s["__from"] <= F.col(at))))
-    return found.withColumn(seq_col, hit[seq_col]).drop("__day", "__spans")
+    begun = F.filter("__spans", lambda s: s["__from"].isNull() | (s["__from"] <= F.col(at)))
+    found = day.join(spans, "__day").withColumn("__spans", begun).where(F.size("__spans") > 0)
+    return found.withColumn(seq_col, F.element_at("__spans", -1)[seq_col]).drop("__day", "__spans")
 
 
-def served_loads(fetch_log: DataFrame, loads: DataFrame, feed: str) -> DataFrame:
+def served_loads(fetch_log: DataFrame, calendar: DataFrame, feed: str) -> DataFrame:
     """``(entity, load_seq, serves)``: only the loads that don't simply serve themselves.
 
     A failed load serves nothing; the last good load before a run of failed ones serves itself and the whole run. A run
     that starts with the first load has nothing to stand for it. Repeated log rows count once; rows without company or
     load count for nothing.
     """
-    cal = load_calendar(loads).select("load_id", "seq")
     failed = (
         fetch_log.where((F.col("feed") == feed) & (F.col("outcome") == "failed") & F.col("company_ticker").isNotNull())
         .select(F.col("company_ticker").alias("entity"), "load_id")
         .distinct()
-        .join(F.broadcast(cal) if loads.limit(CALENDAR_BROADCAST_ROWS + 1).count() <= CALENDAR_BROADCAST_ROWS else cal, "load_id")
+        .join(calendar.select("load_id", "seq"), "load_id")
         .select("entity", "seq")
     )
     run = F.col("seq") - F.row_number().over(W.partitionBy("entity").orderBy("seq"))
@@ -111,9 +128,10 @@ def states(
         F.col(entity).alias("entity"), item.alias("item"), F.col(at).alias("__at"), F.col(order).alias("__order"), *payload
     ).where("entity is not null and item is not null")
     names = [c for c in base.columns if c not in ("entity", "item", "__at", "__order")]
-    tagged = assign_load(base, loads, "__at")
+    calendar, small = load_calendar(loads)
+    tagged = _assign(base, calendar, small, "__at", "load_seq")
     if fetch_log is not None:
-        tagged = tagged.join(served_loads(fetch_log, loads, feed), ["entity", "load_seq"], "left")
+        tagged = tagged.join(served_loads(fetch_log, calendar, feed), ["entity", "load_seq"], "left")
         tagged = tagged.withColumn("load_seq", F.explode(F.coalesce("serves", F.array("load_seq")))).drop("serves")
     if by_key:
         tagged = tagged.repartition("entity", "item")
@@ -132,18 +150,16 @@ def changes(state: DataFrame, loads: DataFrame, payload: list[str]) -> DataFrame
     ``state`` has one row per (entity, item, load_seq). A full outer join on the key compares row hashes: a missing left
     side gives ``removed``, a missing right side ``added``, unequal hashes ``changed``; equal rows give nothing.
     """
-    cal = load_calendar(loads)
+    cal, _ = load_calendar(loads)
     hashed = state.select("entity", "item", "load_seq", row_hash(*[F.col(c) for c in payload]).alias("h"))
-    now = hashed.where("load_seq > 1").withColumnRenamed("h", "h_now")
     last = cal.agg(F.max("seq").alias("last_seq"))
+    now = hashed.where("load_seq > 1").withColumnRenamed("h", "h_now")
     before = hashed.join(F.broadcast(last), F.col("load_seq") < F.col("last_seq")).select(
         "entity", "item", (F.col("load_seq") + 1).alias("load_seq"), F.col("h").alias("h_before")
     )
     kind = F.when(F.col("h_before").isNull(), "added").when(F.col("h_now").isNull(), "removed").otherwise("changed")
     both = now.join(before, ["entity", "item", "load_seq"], "full_outer").where(~F.col("h_now").eqNullSafe(F.col("h_before")))
-    names = cal.select(F.col("seq").alias("load_seq"), "load_id")
-    small = loads.limit(CALENDAR_BROADCAST_ROWS + 1).count() <= CALENDAR_BROADCAST_ROWS
-    return both.join(F.broadcast(names) if small else names, "load_seq").select("load_id", "entity", "item", kind.alias("change_type"))
+    return both.join(cal.select(F.col("seq").alias("load_seq"), "load_id"), "load_seq").select("load_id", "entity", "item", kind.alias("change_type"))
 
 
 def versions(state: DataFrame, loads: DataFrame, payload: list[str]) -> DataFrame:
@@ -163,9 +179,7 @@ def versions(state: DataFrame, loads: DataFrame, payload: list[str]) -> DataFram
 
     edges = state.withColumns({"__open": breaks(F.lag, -1), "__close": breaks(F.lead, 1)}).where("__open or __close")
     spans = edges.withColumn("__to", F.when(F.col("__close"), F.col("load_seq")).otherwise(F.lead("load_seq").over(w))).where("__open")
-    cal = load_calendar(loads)
-    small = loads.limit(CALENDAR_BROADCAST_ROWS + 1).count() <= CALENDAR_BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda d: d)
+    cal, _ = load_calendar(loads)
     first = cal.select(F.col("seq").alias("load_seq"), F.col("load_id").alias("from_load"))
     last = cal.select(F.col("seq").alias("__to"), F.col("load_id").alias("to_load"))
-    return spans.join(hint(first), "load_seq").join(hint(last), "__to").select("entity", "item", "from_load", "to_load", *payload)
+    return spans.join(first, "load_seq").join(last, "__to").select("entity", "item", "from_load", "to_load", *payload)
