@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import leakage, reading
+from larkspur.llm import leakage, neighbours, reading
 from larkspur.session import table
 
 
+def _newest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    trials, last = table(spark, sf, "trials"), table(spark, sf, "loads").agg(F.max("started_at").alias("last_start"))
+    return trials.join(F.broadcast(last), F.col("fetched_at") >= F.col("last_start")).select("id", F.col("embedding").alias("v"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.similar_pairs(_newest_vectors(spark, sf), k=5, floor=0.85, length=64)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -35,7 +44,16 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
     "p8_found": p8_found, "p8_profile": p8_profile,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """
+WITH u AS (SELECT id, embedding::DOUBLE[] AS v FROM trials WHERE fetched_at >= (SELECT max(started_at) FROM loads) AND len(embedding) = 64
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
+n AS (SELECT a, b FROM s WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n
+""",
+}
