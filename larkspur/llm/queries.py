@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import leakage, neighbours, reading
+from larkspur.llm import leakage, neighbours, reading, variants
 from larkspur.session import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_pairs(table(spark, sf, "trials"), "lead_sponsor")
+
+
+def p3_sponsors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spelling with the number of its sponsor, and how many spellings that sponsor has."""
+    c = variants.clusters(table(spark, sf, "trials"), "lead_sponsor")
+    return c.join(c.groupBy("cluster").agg(F.count("*").alias("spellings")), "cluster").select("name", "cluster", "spellings")
+
+
 def _newest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     trials, last = table(spark, sf, "trials"), table(spark, sf, "loads").agg(F.max("started_at").alias("last_start"))
     return trials.join(F.broadcast(last), F.col("fetched_at") >= F.col("last_start")).select("id", F.col("embedding").alias("v"))
@@ -44,6 +54,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_sponsors": p3_sponsors,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
     "p8_found": p8_found, "p8_profile": p8_profile,
