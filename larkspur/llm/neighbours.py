@@ -203,7 +203,8 @@ def nearest(vectors: DataFrame, k: int, floor: float, factor: float = FACTOR) ->
         return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
     routed = vectors.select("id", "v").mapInArrow(route, "leaf int, part int, id long, home boolean, asks boolean, v array<float>")
-    pairs = routed.groupBy("leaf", "part").applyInArrow(search, "id long, other long, cosine double").distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(parts.sum()), 10_000))
+    pairs = routed.repartition(tasks, "leaf", "part").groupBy("leaf", "part").applyInArrow(search, "id long, other long, cosine double").distinct()
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("cosine", 9).desc(), "other"))
     return pairs.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 

@@ -105,7 +105,10 @@ def edit_join(index: DataFrame, queries: DataFrame) -> DataFrame:
         "shard", "query", "bound", "len", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"), F.pmod(F.xxhash64("query"), "tasks").cast("int").alias("task")
     )
     by = ["shard", "len", "trie", "task"]
-    # Both sides come from one plan; new names keep their columns apart.
-    left = left.select("key", *[F.col(c).alias(f"i_{c}") for c in by])
+    # The rows are few and the work on them is much, so the number of tasks must not follow their bytes. Both sides come
+    # from one plan; new names keep their columns apart.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.select("key", *[F.col(c).alias(f"i_{c}") for c in by]).repartition(tasks, *[f"i_{c}" for c in by])
+    right = right.repartition(tasks, *by)
     found = left.groupBy(*[f"i_{c}" for c in by]).cogroup(right.groupBy(*by)).applyInPandas(_match, "shard string, query string, key string, edits int")
     return found.where(F.col("edits") <= bound(F.length("key")))
