@@ -59,6 +59,8 @@ _GIVEN = {short: k for k, shorts in GIVEN.items() for short in [k, *shorts.split
 INITIALS = {k: frozenset(x[0] for x in [k, *shorts.split()]) for k, shorts in GIVEN.items()}
 _DOTTED = [(re.compile(rf"\b{r'\.?\s?'.join(k)}\b\.?"), f" {k} ") for k in ("gmbh", "llc", "plc", "ag", "lp", "bv", "nv", "sa")]
 _BIO = re.compile(r"\bbio[\s\-]+(?=scien|tech|logic)")
+#: Filers carry their state behind the name: ``... INC /DE/``.
+_STATE = re.compile(r"\s*/[a-z]{2,3}/?\s*$")
 _WORD = re.compile(r"[a-z0-9]+")
 #: How the registry itself writes names: the spelling most likely to be free of typing errors.
 _KINDS_TITLE = "|".join(k.title() for k in KINDS)
@@ -115,6 +117,7 @@ def folded(name: str) -> str:
     """Lower case without marks over letters, with dotted legal forms written plainly."""
     t = "".join(ch for ch in unicodedata.normalize("NFKD", name) if not unicodedata.combining(ch)).lower()
     t = t.replace("'s", "s").replace("’s", "s").replace("'", "").replace("’", "").replace("&", "")
+    t = _STATE.sub("", t)
     for pattern, plain in _DOTTED:
         t = pattern.sub(plain, t)
     return _BIO.sub("bio", t)

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import leakage, neighbours, reading, variants
+from larkspur.llm import leakage, linkage, mixing, neighbours, reading, variants
 from larkspur.session import table
 
 
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(table(spark, sf, "sponsor_records"), table(spark, sf, "companies"), table(spark, sf, "filer_records"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _links(spark, sf).select("record_id", "ticker")
+
+
+def p1_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Each linked record with its confidence."""
+    return _links(spark, sf).select("record_id", "ticker", F.round("confidence", 6).alias("confidence"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf, "trials"), "lead_sponsor")
 
@@ -41,6 +54,20 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return p6_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with how often it is drawn."""
+    return _mix(spark, sf).draws
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The actual share of each source beside its target."""
+    return _mix(spark, sf).shares()
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels")).select("doc_id", "reading_level")
 
@@ -54,9 +81,11 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_confidence": p1_confidence,
     "p3_found": p3_found, "p3_sponsors": p3_sponsors,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
+    "p7_draws": p7_draws, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_profile": p8_profile,
 }
 SQL: dict[str, str] = {
