@@ -40,4 +40,5 @@ def sponsor_matches(lead: Column, name: Column) -> Column:
 
 def padded_id(number: Column) -> Column:
     """Ten digits with leading zeros; longer numbers are not cut. Texts that are no number give null."""
-    return F.format_string("%010d", number.try_cast("bigint"))
+    n = number.try_cast("bigint")
+    return F.when(n.isNotNull(), F.format_string("%010d", n))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -96,15 +97,20 @@ class CompanyFilter:
     sector: str | None = None
     min_runway: float | None = None
 
-    def apply(self, summary: DataFrame) -> DataFrame:
+    def condition(self) -> Column:
+        """All bounds as one predicate; a comparison with a missing figure is null, which no filter lets through."""
+        terms = [F.lit(True)]
         for column, least in (("rd_value", self.min_rd), ("cash_value", self.min_cash), ("active_trials", self.min_active_trials), ("runway", self.min_runway)):
             if least is not None:
-                summary = summary.where(F.col(column) >= F.lit(least))
+                terms.append(F.col(column) >= F.lit(least))
         if self.has_phase3 is not None:
-            summary = summary.where(F.col("has_phase3") == self.has_phase3)
+            terms.append(F.col("has_phase3") == self.has_phase3)
         if self.sector:
-            summary = summary.where(F.lower(F.coalesce("sector", F.lit(""))) == self.sector.lower())
-        return summary
+            terms.append(F.lower(F.coalesce("sector", F.lit(""))) == self.sector.lower())
+        return reduce(lambda a, b: a & b, terms)
+
+    def apply(self, summary: DataFrame) -> DataFrame:
+        return summary.where(self.condition())
 
 
 SORTS = {"rd": "rd_value", "cash": "cash_value", "active_trials": "active_trials", "total_trials": "total_trials", "runway": "runway"}
