@@ -43,3 +43,12 @@ def checkpoint_ready(spark: SparkSession) -> None:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all task slots where a scan comes in fewer parts than there are (a small table in one file).
+
+    For steps that cost much per row. Scans of large tables have more parts than slots and stay as they are, unshuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
