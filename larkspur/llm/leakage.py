@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm.words import portions, words, words_of
+from larkspur.session import spread
 
 #: Masks over eight words; fixed values.
 SEEDS = ("11011011", "11101011")
@@ -127,7 +128,7 @@ def overlaps(corpus: DataFrame, items: DataFrame) -> DataFrame:
     ``SEED_TABLE_ROWS`` is sent to the tasks that read the corpus; beyond that all windows of the corpus are shuffled to
     the join, and the texts of hit pairs are read a second time.
     """
-    corpus = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    corpus = spread(corpus.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     seeds = seed_table(items)
     keyed = seeds.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "seed", "hash")

@@ -20,7 +20,7 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from larkspur.session import checkpoint_ready
+from larkspur.session import checkpoint_ready, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern that belongs to that vocabulary; a fixed value.
@@ -56,7 +56,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield texts.map(lambda t: len(encoding.encode_ordinary(t))).astype("int64")
 
     counter = F.pandas_udf(count, T.LongType())
-    named = documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text")
+    named = spread(documents.select("doc_id", "source", "text")).where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text")
     return named.withColumn("tokens", counter("text"))
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from larkspur.session import checkpoint_ready
+from larkspur.session import checkpoint_ready, spread
 
 #: Shares of a document's words that the vocabulary must cover.
 SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
@@ -156,7 +156,7 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, min_tokens: int = 4
     one document, with the sentence figures of one of its rows. Word counts cover all documents. The rank table, one row
     per distinct word, is checkpointed because both the calibration and the scoring use it.
     """
-    documents = documents.select("doc_id", "text")
+    documents = spread(documents.select("doc_id", "text"))
     checkpoint_ready(documents.sparkSession)
     ranks = word_ranks(with_words(documents)).checkpoint()
     ratings = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), "reading_level")
