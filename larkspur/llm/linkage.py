@@ -151,7 +151,7 @@ def estimate(patterns: Sequence[Row], rounds: int = 200) -> tuple[float, dict[st
     patterns: one row per combination of levels with its count ``n``; there are at most a few hundred, whatever the data.
     """
     n = np.array([r["n"] for r in patterns], float)
-    at = {f: np.array([-1 if r[f] is None else r[f] for r in patterns]) for f in LEVELS}
+    at = {f: np.array([-1 if r[f] is None else r[f] for r in patterns], int) for f in LEVELS}
     share = 0.5
     m = {f: np.array([2.0**k for k in range(size)]) / sum(2.0**k for k in range(size)) for f, size in LEVELS.items()}
     u = {f: v[::-1].copy() for f, v in m.items()}

@@ -82,7 +82,7 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
     hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=HASHED_WORDS)
     featured = lambda df: hashed.transform(split.transform(df))
     training = featured(some.withColumn("label", number).where("label is not null"))
-    model = LogisticRegression(maxIter=20, regParam=0.01, elasticNetParam=0.0, family="multinomial").fit(training)
+    model = LogisticRegression(maxIter=20, regParam=0.001, elasticNetParam=0.0, family="multinomial").fit(training)
     guessed = model.transform(featured(unknown))
     probability = vector_to_array("probability")
     # The model may have seen fewer classes than there are sources.

@@ -234,7 +234,7 @@ def similar_pairs(vectors: DataFrame, k: int, floor: float, length: int, factor:
 
     Unusable vectors (see ``usable``) don't count; rows repeated under one id count once. Exact copies are searched once:
     of a group of copies only the k + 1 smallest ids can be anyone's neighbours, and they stand for the group, so that
-    a group of any size stays linear. Copies beyond them have the k smallest ids of their group.
+    a group of any size stays linear. Copies beyond them get the list of their group.
     """
     rows = usable(vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v")), length).dropDuplicates(["id"])
     key: list[Column] = [F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")]
@@ -251,8 +251,10 @@ def similar_pairs(vectors: DataFrame, k: int, floor: float, length: int, factor:
     lists = around.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "member"))).alias("near"))
     per = own.join(lists, "rep").select("id", F.explode(F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k)).alias("x"))
     pairs = per.select("id", F.col("x.member").alias("other"))
-    crowded = members.where(F.col("place") == k + 1).select("h1", "h2")
-    heads = members.where(F.col("place") <= k).join(crowded, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("id").alias("other"))
-    more = keyed.select("id", "h1", "h2").join(heads, ["h1", "h2"]).where("id <> other").select("id", "other")
+    # Rows of a group with more copies than that see the group's list too; there is one list per such group.
+    crowded = members.where(F.col("place") == k + 1).select("h1", "h2").join(first, ["h1", "h2"]).join(lists, "rep")
+    heads = crowded.select("h1", "h2", F.slice("near", 1, k + 1).alias("near"))
+    more = keyed.select("id", "h1", "h2").join(heads, ["h1", "h2"]).select("id", F.explode(F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k)).alias("x"))
+    more = more.select("id", F.col("x.member").alias("other"))
     both = pairs.unionByName(more)
     return both.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
