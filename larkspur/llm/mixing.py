@@ -79,7 +79,7 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000))
     split = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+")
-    hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=HASHED_WORDS)
+    hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=HASHED_WORDS, binary=True)
     featured = lambda df: hashed.transform(split.transform(df))
     training = featured(some.withColumn("label", number).where("label is not null"))
     model = LogisticRegression(maxIter=20, regParam=0.001, elasticNetParam=0.0, family="multinomial").fit(training)
