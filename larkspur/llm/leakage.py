@@ -133,9 +133,10 @@ def overlaps(corpus: DataFrame, items: DataFrame) -> DataFrame:
     seeds = seed_table(items)
     keyed = seeds.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "seed", "hash")
     item_words = items.select(F.col("doc_id").alias("item_id"), words("text").alias("item_words"))
-    small = seeds.select("seed", "hash").distinct().limit(SEED_TABLE_ROWS + 1).collect()
-    if len(small) <= SEED_TABLE_ROWS:
-        known = [np.sort(np.array([r["hash"] for r in small if r["seed"] == s], np.int64).view(np.uint64)) for s in range(len(SEEDS))]
+    small = seeds.select("seed", "hash").distinct().limit(SEED_TABLE_ROWS + 1).toArrow()
+    if small.num_rows <= SEED_TABLE_ROWS:
+        number, code = small["seed"].to_numpy(), small["hash"].to_numpy()
+        known = [np.sort(code[number == s].view(np.uint64)) for s in range(len(SEEDS))]
         regions = _regions(corpus, known).withColumn("hit", F.explode("hits"))
         hits = regions.select("doc_id", "start", F.col("words").alias("doc_words"), "hit.*").join(keyed, ["seed", "hash"])
         at = F.col("pos") - F.col("start") - F.col("item_pos")
