@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from larkspur.session import checkpoint_ready
+
 #: The routing tree is fitted on at most this many vectors. Every vector is indexed.
 SAMPLE_ROWS = 20_000
 #: Vectors per shard aimed at, visitors per task, and vectors in a leaf of a shard's tree.
@@ -240,9 +242,11 @@ def similar_pairs(vectors: DataFrame, k: int, floor: float, length: int, factor:
     key: list[Column] = [F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")]
     keyed = rows.select("id", "v", *key)
     place = F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))
-    members = keyed.withColumn("place", place).where(F.col("place") <= k + 1)
+    # Both are used several times below: the vectors kept of each group of copies, and the pairs found.
+    checkpoint_ready(vectors.sparkSession)
+    members = keyed.withColumn("place", place).where(F.col("place") <= k + 1).checkpoint()
     apart = members.where("place = 1").select("id", "v")
-    found = nearest(apart, k, floor, factor)
+    found = nearest(apart, k, floor, factor).checkpoint()
     first = members.where("place = 1").select("h1", "h2", F.col("id").alias("rep"))
     own = members.select("h1", "h2", "id").join(first, ["h1", "h2"]).select("rep", "id")
     around = found.select("id", F.col("other").alias("rep"), "cosine").join(own.withColumnRenamed("id", "member"), "rep").select(F.col("id").alias("rep"), "member", "cosine")

@@ -89,13 +89,13 @@ def roots(groups: DataFrame, parent: DataFrame, jumps: int = 3) -> DataFrame:
 def clusters(names: DataFrame, column: str) -> DataFrame:
     """``(name, cluster)`` for each distinct name with a word of its own; null and blank names have none.
 
-    Repeated rows only count as evidence of how usual a spelling is. The parsed names and the candidate pairs are
-    checkpointed, since the later steps use them several times.
+    Repeated rows only count as evidence of how usual a spelling is. The parsed names, the candidate pairs and the
+    parents are checkpointed, since the later steps use them several times.
     """
     checkpoint_ready(names.sparkSession)
     spelled = spellings(names, column).checkpoint()
     groups = spelled.groupBy("group_id", *KEY).agg(F.sum("n").alias("n"), F.max("clean").alias("clean"))
-    at = roots(groups, parents(candidates(groups).checkpoint()))
+    at = roots(groups.select("group_id").checkpoint(), parents(candidates(groups).checkpoint()).checkpoint())
     return spelled.select("name", "group_id").join(at, "group_id").select("name", F.col("root").alias("cluster"))
 
 
