@@ -39,3 +39,13 @@ def escaped(text: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b where b is positive, else null; a zero a gives 0."""
     return F.when(b > 0, a / b)
+
+
+def linked(base: str, value: Column) -> Column:
+    """``base`` followed by the percent-encoded value; a space becomes ``%20``. Null gives null."""
+    return F.concat(F.lit(base), F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")))
+
+
+def linked_ticker(fragment: Column) -> Column:
+    """The ticker in a ``#/c/<letters and dots>`` link, or an empty text."""
+    return F.regexp_extract(fragment, r"^#/c/([A-Za-z.]+)", 1)

@@ -94,6 +94,20 @@ def universe_semi_joins(spark: SparkSession, sf: str) -> DataFrame:
     return with_trials.join(_figures(spark, sf).where("metric = 'rd_expense' and value is not null").select("ticker"), "ticker", "left_semi")
 
 
+def first_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twenty current trials of each company in the order of their ids, and how many it has."""
+    w = W.partitionBy("ticker").orderBy("id")
+    t = _trials(spark, sf)
+    first = t.withColumn("place", F.row_number().over(w)).where("place <= 20")
+    return first.join(op.pipeline_summary(t).select("ticker", "total_trials"), "ticker").select("ticker", "place", "nct_id", "phase", "status", "total_trials")
+
+
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One company by its ticker in any case."""
+    first = table(spark, sf, "companies").agg(F.min("ticker").alias("wanted"))
+    return _shown(_summary(spark, sf).join(F.broadcast(first), F.col("ticker") == F.upper(F.lower("wanted"))).drop("wanted"))
+
+
 def distinct_sectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "companies").where("sector <> ''").select("sector").distinct()
 
@@ -134,6 +148,8 @@ QUERIES = {
     "company_facts": company_facts,
     "plan_filter_dispatch": plan_filter_dispatch,
     "universe_semi_joins": universe_semi_joins,
+    "first_trials": first_trials,
+    "point_lookup": point_lookup,
     "distinct_sectors": distinct_sectors,
     "sector_counts": sector_counts,
     "ordered_distinct_sources": ordered_distinct_sources,
@@ -192,6 +208,8 @@ SQL = {
     "ELSE '$' || floor(cash_value / 1e6 + 0.5)::BIGINT || 'M' END AS cash_short, count(*) OVER (PARTITION BY coalesce(sector, '')) AS in_sector FROM summary",
     "plan_filter_dispatch": f"{CURRENT} SELECT ticker, active_trials, total_trials, count(*) OVER () AS matches FROM summary WHERE has_phase3 AND active_trials >= 2 ORDER BY active_trials DESC, ticker LIMIT 25",
     "universe_semi_joins": f"{CURRENT} SELECT ticker, name FROM companies WHERE ticker IN (SELECT ticker FROM cur) AND ticker IN (SELECT ticker FROM fig WHERE metric = 'rd_expense' AND value IS NOT NULL)",
+    "first_trials": f"{CURRENT} SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY id)::INT AS place, nct_id, phase, status, count(*) OVER (PARTITION BY ticker) AS total_trials FROM cur QUALIFY place <= 20",
+    "point_lookup": f"{CURRENT} {_ROW} WHERE ticker = (SELECT min(ticker) FROM companies)",
     "distinct_sectors": "SELECT DISTINCT sector FROM companies WHERE sector <> ''",
     "sector_counts": "SELECT sector, count(*) AS n, min(ticker) AS first_ticker FROM companies GROUP BY 1",
     "ordered_distinct_sources": "SELECT lead_sponsor, array_to_string(list(company_ticker ORDER BY first_id, company_ticker)[1:15], ',') AS sources, greatest(count(*) - 15, 0)::INT AS more FROM "

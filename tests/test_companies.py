@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from larkspur.functions.display import escaped, grouped, millions, ratio, short_money, snippet
+from larkspur.functions.display import escaped, grouped, linked, linked_ticker, millions, ratio, short_money, snippet
 from larkspur.functions.names import core_name, first_core_word, padded_id, search_term, sponsor_matches
 from larkspur.operators import companies as op
 from larkspur.operators.companies import CompanyFilter
@@ -137,3 +137,8 @@ def test_display(spark):
     assert [r[0] for r in t] == ["a bxx", ""]
     assert spark.createDataFrame([('<a & "b">',)], "t string").select(escaped(F.col("t"))).first()[0] == "&lt;a &amp; &quot;b&quot;&gt;"
     assert [r[0] for r in spark.createDataFrame([(0.0, 2.0), (1.0, 0.0), (1.0, None)], "a double, b double").select(ratio(F.col("a"), F.col("b"))).collect()] == [0.0, None, None]
+
+
+def test_links(spark):
+    df = spark.createDataFrame([("a b&c", "#/c/BRK.B-x"), (None, "#/d/X")], "v string, f string")
+    assert [tuple(r) for r in df.select(linked("u?x=", F.col("v")), linked_ticker(F.col("f"))).collect()] == [("u?x=a%20b%26c", "BRK.B"), (None, "")]
