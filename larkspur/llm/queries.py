@@ -88,7 +88,23 @@ QUERIES = {
     "p7_draws": p7_draws, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_profile": p8_profile,
 }
+_INLINE = r"</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|var)(?:\s[^<>]*)?/?>"
+_PLAIN = (
+    f"regexp_replace(regexp_replace(regexp_replace(text, '{_INLINE}', '', 'gi'), '<[/!?]?[A-Za-z][^<>]*>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g')"
+)
+_BARE = rf"regexp_replace(strip_accents(replace(replace({_PLAIN}, chr(64257), 'fi'), chr(64258), 'fl')), '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}*_~`]+', '', 'g')"
+
+
+def _grams(key: str, name: str) -> str:
+    words = rf"SELECT {key} AS id, regexp_extract_all(lower({_BARE}), '[\p{{L}}\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT id, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM ({words}))"
+
+
+_LEAKS = f"WITH d AS ({_grams('doc_id', 'documents')}), t AS ({_grams('item_id', 'eval_items')}), l AS (SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM d JOIN t USING (gram))"
+
 SQL: dict[str, str] = {
+    "p6_found": f"{_LEAKS} SELECT * FROM l",
+    "p6_items": f"{_LEAKS} SELECT item_id, count(*) AS documents FROM l GROUP BY 1",
     "p5_found": """
 WITH u AS (SELECT id, embedding::DOUBLE[] AS v FROM trials WHERE fetched_at >= (SELECT max(started_at) FROM loads) AND len(embedding) = 64
            AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
