@@ -53,16 +53,17 @@ def parents(pairs: DataFrame) -> DataFrame:
     """``(group_id, parent)``: the best group that each group can be a misspelling of.
 
     A parent ranks higher: written as the registry writes, complete, more rows. Two groups that are both written as the
-    registry writes are mostly different sponsors: among organisations they only join by one edit (two in words of nine
-    letters or more) that isn't a plain substitution. A name that lacks a part (kind, given or middle name) gets no parent where equally good ones differ.
+    registry writes are mostly different sponsors: among organisations they only join by one edit that isn't a plain
+    substitution; in words of nine letters or more by any one edit, or two that aren't. A name that lacks a part (kind, given or middle name) gets no parent where equally good ones differ.
     """
     full = lambda s: (F.col(f"{s}_class") != "").cast("int") + (F.col(f"{s}_legal") != "").cast("int") + (F.length(f"{s}_given") > 1).cast("int") + (F.col(f"{s}_middle") != "").cast("int")
     rank = lambda s: F.struct(F.col(f"{s}_clean"), full(s), F.col(f"{s}_n"), F.col(f"{s}_group_id"))
     above = pairs.where(rank("b") > rank("a"))
     swapped = (F.length("a_core") == F.length("b_core")) & (F.array_sort(F.split("a_core", "")) == F.array_sort(F.split("b_core", "")))
-    # Long words are rarely close by chance, so they may have two such edits.
-    near = (F.col("edits") == 1) | (F.least(F.length("a_core"), F.length("b_core")) >= 9)
-    typo = near & ((F.length("a_core") != F.length("b_core")) | swapped)
+    # Long words are rarely close by chance: they may have two such edits, or one of any kind.
+    long = F.least(F.length("a_core"), F.length("b_core")) >= 9
+    moved = (F.length("a_core") != F.length("b_core")) | swapped
+    typo = ((F.col("edits") == 1) & (moved | long)) | (long & moved)
     above = above.where((F.col("b_class") == "person") | ~(F.col("a_clean") & F.col("b_clean")) | typo)
     lacking = (F.col("a_class") == "") | ((F.col("b_class") == "person") & ((F.col("a_middle") == "") | (F.length("a_given") <= 1)))
     goodness = F.struct(F.col("b_clean").cast("int").alias("c"), (-F.col("edits")).alias("e"), (F.col("a_legal") == F.col("b_legal")).cast("int").alias("l"))
