@@ -166,6 +166,19 @@ def test_reading_levels(spark, monkeypatch):
     assert {r["reading_level"] for r in reading.reading_levels(docs, ratings.limit(0)).collect()} == {None}
 
 
+TELEGRAPHIC = "Methodology: a mixed-effects model. Comparator-arm randomisation: a stratified allocation. Tolerability: no attributable discontinuation. "
+
+
+def test_english_without_english_function_words(spark):
+    french = "La randomisation et la stratification des participants dans une population de validation pour la confirmation. "
+    portuguese = "A companhia espera que o estudo e os dados da fase dois cheguem no fim do ano para as equipas. "
+    texts = [TELEGRAPHIC * 6, "Dosing per cohort per protocol; endpoints met; randomisation stratified; met per prespecified modelling. " * 6, french * 6, portuguese * 6]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    worded = reading.with_words(docs)
+    got = {r["doc_id"] for r in reading.features(worded, reading.word_ranks(worded)).collect()}
+    assert got == {0, 1}, got
+
+
 def test_coverage_ranks_by_brute_force(spark):
     docs, ratings = reading_frames(spark)
     worded = {r["doc_id"]: r["words"] for r in reading.with_words(docs.dropDuplicates()).collect()}
