@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from larkspur.functions import names
 from larkspur.functions.display import escaped, grouped, snippet
+from larkspur.operators import snapshots
 from larkspur.sources import landing, warehouse
 from larkspur.session import table
 
@@ -82,10 +83,13 @@ def listed_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_replace(spark: SparkSession, sf: str) -> DataFrame:
-    """Each load from the second on replaces, in the load before, the rows of the companies it fetched; rows per load."""
+    """The newest load replaces, in the load before, the rows of the companies it fetched; rows per company.
+
+    This is the last step alone. The stored table after each load, with all steps before it, is ``snapshot_replay``.
+    """
     t, log = table(spark, sf, "trials"), table(spark, sf, "fetch_log")
     bounds = table(spark, sf, "loads").orderBy(F.desc("started_at")).select("load_id", "started_at").limit(2).collect()
-    (last, start), (_, before) = [(r["load_id"], r["started_at"]) for r in bounds]
+    (last, start), (_, before) = [*map(tuple, bounds), (None, None), (None, None)][:2]
     cols = ["company_ticker", "nct_id", "id"]
     old = t.where((F.col("fetched_at") >= F.lit(before)) & (F.col("fetched_at") < F.lit(start))).select(*cols)
     new = t.where(F.col("fetched_at") >= F.lit(start)).select(*cols)
@@ -93,6 +97,24 @@ def snapshot_replace(spark: SparkSession, sf: str) -> DataFrame:
     return warehouse.replaced(old, new, fetched, "company_ticker").groupBy("company_ticker").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
+def snapshot_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored table after each load: per company the rows of its last load so far whose fetch was ok.
+
+    Rows without a company are fetched for none, so they are never stored. A company whose last good load has no rows
+    has no row here.
+    """
+    t, loads = table(spark, sf, "trials"), table(spark, sf, "loads")
+    calendar, _ = snapshots.load_calendar(loads)
+    rows = snapshots.assign_load(t.select("company_ticker", "id", "fetched_at"), loads).groupBy("company_ticker", F.col("load_seq").alias("seq"))
+    rows = rows.agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+    ok = table(spark, sf, "fetch_log").where((F.col("feed") == "registry") & (F.col("outcome") == "ok") & F.col("company_ticker").isNotNull())
+    ok = ok.join(calendar.select("load_id", "seq"), "load_id").select("company_ticker", "seq").distinct()
+    after = F.lead("seq").over(W.partitionBy("company_ticker").orderBy("seq"))
+    stands = ok.withColumn("after", after).crossJoin(F.broadcast(calendar.agg(F.max("seq").alias("newest"))))
+    stored = stands.join(rows, ["company_ticker", "seq"]).withColumn("seq", F.explode(F.sequence("seq", F.coalesce(F.col("after") - 1, "newest"))))
+    return stored.join(calendar.select("load_id", "seq"), "seq").select("load_id", "company_ticker", "n", "last_id")
+
+
 def pending_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that have a text but no vector yet, per load day."""
     t = table(spark, sf, "trials").where("summary is not null and summary <> '' and embedding is null")
@@ -112,7 +134,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         core_name, search_term, first_core_word, padded_cik, sponsor_match, flatten_studies, first_title_wins, last_title_wins, override_merge, listed_codes,
-        snapshot_replace, pending_embedding, snippets, json_field,
+        snapshot_replace, snapshot_replay, pending_embedding, snippets, json_field,
     )
 }
 
@@ -141,6 +163,10 @@ SQL = {
     "snapshot_replace": "WITH l AS (SELECT load_id, started_at, row_number() OVER (ORDER BY started_at DESC) AS k FROM loads), s AS (SELECT (SELECT started_at FROM l WHERE k = 1) AS b, (SELECT started_at FROM l WHERE k = 2) AS a), "
     "ok AS (SELECT company_ticker FROM fetch_log WHERE load_id = (SELECT load_id FROM l WHERE k = 1) AND feed = 'registry' AND outcome = 'ok') "
     "SELECT company_ticker, count(*) AS n, max(id) AS last_id FROM trials, s WHERE (fetched_at >= b AND company_ticker IN (FROM ok)) OR (fetched_at >= a AND fetched_at < b AND (company_ticker IS NULL OR company_ticker NOT IN (FROM ok))) GROUP BY 1",
+    "snapshot_replay": "WITH l AS (SELECT load_id, started_at, row_number() OVER (ORDER BY started_at) AS k, lead(started_at) OVER (ORDER BY started_at) AS e FROM (SELECT started_at, max(load_id) AS load_id FROM loads WHERE started_at IS NOT NULL GROUP BY 1)), "
+    "r AS (SELECT k, company_ticker, count(*) AS n, max(id) AS last_id FROM trials JOIN l ON fetched_at >= started_at AND (e IS NULL OR fetched_at < e) GROUP BY ALL), "
+    "ok AS (SELECT DISTINCT k, company_ticker FROM fetch_log JOIN l USING (load_id) WHERE feed = 'registry' AND outcome = 'ok'), "
+    "s AS (SELECT l.load_id, company_ticker, max(ok.k) AS k FROM l JOIN ok ON ok.k <= l.k GROUP BY ALL) SELECT load_id, company_ticker, n, last_id FROM s JOIN r USING (k, company_ticker)",
     "pending_embedding": "SELECT fetched_at::DATE AS day, count(*) AS n FROM trials WHERE summary <> '' AND embedding IS NULL GROUP BY 1",
     "snippets": f"SELECT doc_id, {_ESCAPED} AS snippet, format('{{:,}}', n_chars) AS length FROM documents",
     "json_field": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total_k, count(*) AS n FROM events GROUP BY 1",

@@ -155,3 +155,33 @@ def test_phases(spark, text, want, shown):
 def test_whole_cuts_toward_zero(spark):
     df = spark.createDataFrame([(99.9,), (-99.9,), (float("nan"),), (1e300,), (None,)], "v double")
     assert [r[0] for r in df.select(whole(F.col("v"))).collect()] == [99, -99, None, None, None]
+
+
+def _loads_on_disk(spark, folder, loads):
+    spark.createDataFrame([(k,) for k in loads], "load_id int").createOrReplaceTempView("made")
+    spark.sql("select load_id, make_timestamp_ntz(2025, 1, load_id, 5, 0, 0) as started_at from made").write.parquet(f"{folder}/loads.parquet")
+    kept = [(k, t, i) for k, t, i in ((1, "A", 1), (1, "A", 2), (1, "B", 3), (1, None, 4), (2, "B", 5), (3, "B", 6), (3, "B", 7)) if k in loads]
+    spark.createDataFrame([(k, t, str(i), i) for k, t, i in kept], "k int, company_ticker string, nct_id string, id long").createOrReplaceTempView("made")
+    spark.sql("select company_ticker, nct_id, id, make_timestamp_ntz(2025, 1, k, 6, 0, 0) as fetched_at from made").write.parquet(f"{folder}/trials.parquet")
+    log = [(1, "A", "ok"), (1, "B", "ok"), (2, "A", "failed"), (2, "B", "ok"), (3, "A", "failed"), (3, "B", "ok"), (4, "A", "failed"), (4, "B", "ok")]
+    spark.createDataFrame([(k, t, "registry", o) for k, t, o in log if k in loads], "load_id int, company_ticker string, feed string, outcome string").write.parquet(f"{folder}/fetch_log.parquet")
+
+
+def test_replay_keeps_the_last_good_snapshot(spark, tmp_path):
+    from larkspur.queries import extract
+
+    _loads_on_disk(spark, tmp_path, [1, 2, 3, 4])
+    got = {(r["load_id"], r["company_ticker"]): (r["n"], r["last_id"]) for r in extract.snapshot_replay(spark, str(tmp_path)).collect()}
+    # A failed three times and keeps its rows; B's last good fetch has none.
+    assert got == {(k, "A"): (2, 2) for k in (1, 2, 3, 4)} | {(1, "B"): (1, 3), (2, "B"): (1, 5), (3, "B"): (2, 7)}
+
+
+def test_replacement_with_fewer_than_two_loads(spark, tmp_path):
+    from larkspur.queries import extract
+
+    _loads_on_disk(spark, tmp_path / "one", [1])
+    got = {r["company_ticker"]: r["n"] for r in extract.snapshot_replace(spark, str(tmp_path / "one")).collect()}
+    assert got == {"A": 2, "B": 1}
+    _loads_on_disk(spark, tmp_path / "none", [])
+    assert extract.snapshot_replace(spark, str(tmp_path / "none")).count() == 0
+    assert extract.snapshot_replay(spark, str(tmp_path / "none")).count() == 0
