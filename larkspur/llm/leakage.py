@@ -2,8 +2,9 @@
 
 A seed is a fixed mask over ``min_words`` successive words; positions with a 0 are ignored. The hashes of all windows of
 the test items are joined with those of all windows of the corpus. Every run of ``min_words`` equal words hits every
-seed, and windows with other words at ignored positions hit too, so overlaps with substitutions are found as well. Around
-each hit the two texts are laid over each other and compared word by word.
+seed, and windows with other words at ignored positions hit too, so overlaps with substitutions are found as well: every
+stretch of eight or more equal words, apart from single substitutions, whose score (see ``laid_over``) rises to its end
+hits at least one seed. Around each hit the two texts are laid over each other and compared word by word.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from larkspur.llm.words import portions, words, words_of
 from larkspur.session import spread
 
 #: Masks over eight words; fixed values.
-SEEDS = ("11011011", "11101011")
+SEEDS = ("11011011", "11101011", "11101101", "01110111", "01011111")
+#: Any one of them finds all runs of equal words.
+RUN_SEEDS = SEEDS[:1]
 #: Items with up to this many window hashes are matched while the corpus is read; more go through a shuffled join.
 SEED_TABLE_ROWS = 2_000_000
 #: Words on each side of a hit that are compared.
@@ -47,38 +50,38 @@ def _coded(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return (pd.util.hash_array(flat, categorize=True) if len(flat) else np.empty(0, np.uint64)), at
 
 
-def _windows(texts: list[list[str]], span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(texts: list[list[str]], seeds: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each seed: text number, position and hash of every window that lies within one text."""
     codes, at = _coded(texts)
-    for number, seed in enumerate(SEEDS):
+    for number, seed in enumerate(seeds):
+        span = len(seed)
         hashes = window_hashes(codes, seed)
         owner = np.searchsorted(at, np.arange(len(hashes)), side="right") - 1
         whole = np.arange(len(hashes)) + span <= at[owner + 1] if len(hashes) else np.empty(0, bool)
         yield number, owner[whole], (np.arange(len(hashes)) - at[owner])[whole] if len(hashes) else owner, hashes[whole]
 
 
-def seed_table(texts: DataFrame) -> DataFrame:
+def seed_table(texts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """``(doc_id, pos, seed, hash)`` of every window of every text."""
-    span = len(SEEDS[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (part for batch in batches for part in portions(batch)):
             ids = pdf["doc_id"].to_numpy()
-            for number, owner, pos, hashes in _windows([words_of(t) for t in pdf["text"]], span):
+            for number, owner, pos, hashes in _windows([words_of(t) for t in pdf["text"]], seeds):
                 yield pd.DataFrame({"doc_id": ids[owner], "pos": pos.astype("int32"), "seed": np.int32(number), "hash": hashes.view(np.int64)})
 
     return texts.select("doc_id", "text").mapInPandas(run, WINDOW)
 
 
-def _regions(corpus: DataFrame, known: list[np.ndarray]) -> DataFrame:
+def _regions(corpus: DataFrame, known: list[np.ndarray], seeds: tuple[str, ...]) -> DataFrame:
     """The parts of corpus texts around windows whose hash is known, with those hits."""
-    span = len(SEEDS[0])
+    span = len(seeds[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (part for batch in batches for part in portions(batch)):
             ids, texts = pdf["doc_id"].to_numpy(), [words_of(t) for t in pdf["text"]]
             hits: dict[int, list[tuple[int, int, int]]] = {}
-            for number, owner, pos, hashes in _windows(texts, span):
+            for number, owner, pos, hashes in _windows(texts, seeds):
                 slot = np.minimum(np.searchsorted(known[number], hashes), max(len(known[number]) - 1, 0))
                 for k in np.flatnonzero(known[number][slot] == hashes) if len(known[number]) else ():
                     hits.setdefault(int(owner[k]), []).append((int(pos[k]), number, int(hashes[k].view(np.int64))))
@@ -119,7 +122,7 @@ def laid_over(doc: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame
     return pd.DataFrame(out, columns=["run", "matched", "span"])
 
 
-def overlaps(corpus: DataFrame, items: DataFrame) -> DataFrame:
+def overlaps(corpus: DataFrame, items: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """``(doc_id, item_id, run, matched, span)``: for each corpus text and test item with a common seed hash, the longest
     run of equal words and the best substitution-tolerant stretch.
 
@@ -130,19 +133,19 @@ def overlaps(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """
     corpus = spread(corpus.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    seeds = seed_table(items)
-    keyed = seeds.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "seed", "hash")
+    table = seed_table(items, seeds)
+    keyed = table.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "seed", "hash")
     item_words = items.select(F.col("doc_id").alias("item_id"), words("text").alias("item_words"))
-    small = seeds.select("seed", "hash").distinct().limit(SEED_TABLE_ROWS + 1).toArrow()
+    small = table.select("seed", "hash").distinct().limit(SEED_TABLE_ROWS + 1).toArrow()
     if small.num_rows <= SEED_TABLE_ROWS:
         number, code = small["seed"].to_numpy(), small["hash"].to_numpy()
-        known = [np.sort(code[number == s].view(np.uint64)) for s in range(len(SEEDS))]
-        regions = _regions(corpus, known).withColumn("hit", F.explode("hits"))
+        known = [np.sort(code[number == s].view(np.uint64)) for s in range(len(seeds))]
+        regions = _regions(corpus, known, seeds).withColumn("hit", F.explode("hits"))
         hits = regions.select("doc_id", "start", F.col("words").alias("doc_words"), "hit.*").join(keyed, ["seed", "hash"])
         at = F.col("pos") - F.col("start") - F.col("item_pos")
         pairs = hits.groupBy("doc_id", F.xxhash64("doc_words").alias("part"), "item_id", at.alias("shift")).agg(F.first("doc_words").alias("doc_words"))
     else:
-        hits = seed_table(corpus).join(keyed, ["seed", "hash"])
+        hits = seed_table(corpus, seeds).join(keyed, ["seed", "hash"])
         pairs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
         pairs = pairs.join(corpus.select("doc_id", words("text").alias("doc_words")), "doc_id")
     found = pairs.join(item_words, "item_id").withColumn("o", laid_over("doc_words", "item_words", "shift"))
@@ -159,4 +162,4 @@ def leaks(corpus: DataFrame, items: DataFrame, min_words: int = len(SEEDS[0])) -
     """
     if min_words < len(SEEDS[0]):
         raise ValueError(f"min_words must be at least {len(SEEDS[0])}")
-    return overlaps(corpus, items).where(F.col("run") >= min_words).select("doc_id", "item_id")
+    return overlaps(corpus, items, RUN_SEEDS).where(F.col("run") >= min_words).select("doc_id", "item_id")

@@ -107,6 +107,41 @@ def test_overlaps_tolerate_substitutions(spark):
     assert r["run"] == 9 and r["matched"] == len(words_of(ITEM)) - 1 and r["span"] == len(words_of(ITEM))
 
 
+def stretches(longest):
+    """Every stretch up to so many words, True for an equal one, that a best overlap can be: single substitutions, a score
+    above zero all along and highest at the end, eight equal words."""
+    open_ends = [((), 0, 0)]
+    while open_ends:
+        nearer = []
+        for bits, score, top in open_ends:
+            for same in (True, False):
+                now = score + (1 if same else -2)
+                if now > 0 and len(bits) < longest and (same or bits[-1]):
+                    nearer.append(((*bits, same), now, max(top, now)))
+                    if now > top and sum(bits) + same >= 8:
+                        yield (*bits, same)
+        open_ends = nearer
+
+
+def test_every_stretch_with_single_substitutions_hits_a_seed():
+    masks = [[i for i, c in enumerate(seed) if c == "1"] for seed in leakage.SEEDS]
+    found = list(stretches(20))
+    assert tuple(c == "=" for c in "===x===x===") in found and len(found) > 300
+    for bits in found:
+        assert any(all(bits[k + i] for i in mask) for k in range(len(bits) - 7) for mask in masks), bits
+
+
+def replaced_words(n, every, at):
+    return [f"other{k}" if k % every == at else f"word{k}" for k in range(n)]
+
+
+def test_overlaps_of_short_runs(spark):
+    item = " ".join(f"word{k}" for k in range(99))
+    corpus = spark.createDataFrame([(1, " ".join(replaced_words(11, 4, 3))), (2, " ".join(replaced_words(99, 4, 3)))], "doc_id long, text string")
+    got = rows(leakage.overlaps(corpus, spark.createDataFrame([(7, item)], "item_id long, text string")))
+    assert got == [(1, 7, 3, 9, 11), (2, 7, 3, 75, 99)]
+
+
 def mixture(spark):
     docs = [(i, "alpha beta gamma " * (1 + i % 7), ["Big One", "BIG_ONE", "big-one"][i % 3], 0) for i in range(300)]
     docs += [(1000 + i, "delta epsilon zeta " * (2 + i % 3), "small", 0) for i in range(20)]
