@@ -24,8 +24,8 @@ SEEDS = ("11011011", "11101011", "11101101", "01110111", "01011111")
 RUN_SEEDS = SEEDS[:1]
 #: Items with up to this many window hashes are matched while the corpus is read; more go through a shuffled join.
 SEED_TABLE_ROWS = 2_000_000
-#: Words on each side of a hit that are compared.
-CONTEXT = 24
+#: Where an item has more words than this, whole texts are compared by a second read, as with large seed tables.
+LONG_ITEM = 1_000
 
 REGION = "doc_id long, start int, words array<string>, hits array<struct<pos:int,seed:int,hash:long>>"
 WINDOW = "doc_id long, pos int, seed int, hash long"
@@ -73,8 +73,8 @@ def seed_table(texts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     return texts.select("doc_id", "text").mapInPandas(run, WINDOW)
 
 
-def _regions(corpus: DataFrame, known: list[np.ndarray], seeds: tuple[str, ...]) -> DataFrame:
-    """The parts of corpus texts around windows whose hash is known, with those hits."""
+def _regions(corpus: DataFrame, known: list[np.ndarray], seeds: tuple[str, ...], around: int) -> DataFrame:
+    """The parts of corpus texts, ``around`` words each way, around windows whose hash is known, with those hits."""
     span = len(seeds[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,9 +90,9 @@ def _regions(corpus: DataFrame, known: list[np.ndarray], seeds: tuple[str, ...])
                 found.sort()
                 group: list[tuple[int, int, int]] = []
                 for h in [*found, (1 << 60, 0, 0)]:
-                    if group and h[0] > group[-1][0] + span + 2 * CONTEXT:
-                        lo = max(0, group[0][0] - CONTEXT)
-                        rows.append((ids[o], lo, texts[o][lo : group[-1][0] + span + CONTEXT], [{"pos": p, "seed": s, "hash": x} for p, s, x in group]))
+                    if group and h[0] > group[-1][0] + span + 2 * around:
+                        lo = max(0, group[0][0] - around)
+                        rows.append((ids[o], lo, texts[o][lo : group[-1][0] + span + around], [{"pos": p, "seed": s, "hash": x} for p, s, x in group]))
                         group = []
                     group.append(h)
             yield pd.DataFrame(rows, columns=["doc_id", "start", "words", "hits"])
@@ -129,7 +129,8 @@ def overlaps(corpus: DataFrame, items: DataFrame, seeds: tuple[str, ...] = SEEDS
     Rows with a null id or text give nothing, nor do texts of fewer words than a seed. Several rows with one id count as
     parts of one text. Only the named columns are read. The items' hashes are counted first: a table of up to
     ``SEED_TABLE_ROWS`` is sent to the tasks that read the corpus; beyond that all windows of the corpus are shuffled to
-    the join, and the texts of hit pairs are read a second time.
+    the join, and the texts of hit pairs are read a second time, as they are where an item has more than ``LONG_ITEM``
+    words. Both ways lay the same words over each other: around a hit, as many words as the longest item has.
     """
     corpus = spread(corpus.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -137,17 +138,21 @@ def overlaps(corpus: DataFrame, items: DataFrame, seeds: tuple[str, ...] = SEEDS
     keyed = table.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "seed", "hash")
     item_words = items.select(F.col("doc_id").alias("item_id"), words("text").alias("item_words"))
     small = table.select("seed", "hash").distinct().limit(SEED_TABLE_ROWS + 1).toArrow()
-    if small.num_rows <= SEED_TABLE_ROWS:
+    longest = item_words.agg(F.max(F.size("item_words"))).first()[0] or 0
+    if small.num_rows <= SEED_TABLE_ROWS and longest <= LONG_ITEM:
         number, code = small["seed"].to_numpy(), small["hash"].to_numpy()
         known = [np.sort(code[number == s].view(np.uint64)) for s in range(len(seeds))]
-        regions = _regions(corpus, known, seeds).withColumn("hit", F.explode("hits"))
+        regions = _regions(corpus, known, seeds, longest).withColumn("hit", F.explode("hits"))
         hits = regions.select("doc_id", "start", F.col("words").alias("doc_words"), "hit.*").join(keyed, ["seed", "hash"])
         at = F.col("pos") - F.col("start") - F.col("item_pos")
         pairs = hits.groupBy("doc_id", F.xxhash64("doc_words").alias("part"), "item_id", at.alias("shift")).agg(F.first("doc_words").alias("doc_words"))
     else:
-        hits = seed_table(corpus, seeds).join(keyed, ["seed", "hash"])
-        pairs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-        pairs = pairs.join(corpus.select("doc_id", words("text").alias("doc_words")), "doc_id")
+        # Rows with one id are apart, as above: a row is only laid over where it has a hit itself.
+        parts = corpus.withColumn("part", F.xxhash64("doc_id", "text"))
+        hits = seed_table(parts.select(F.col("part").alias("doc_id"), "text"), seeds).join(keyed, ["seed", "hash"])
+        pairs = hits.select(F.col("doc_id").alias("part"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+        texts = parts.join(pairs.select("part").distinct(), "part", "left_semi").select("part", "doc_id", words("text").alias("doc_words"))
+        pairs = pairs.join(texts, "part")
     found = pairs.join(item_words, "item_id").withColumn("o", laid_over("doc_words", "item_words", "shift"))
     best = F.max(F.struct("o.matched", "o.span"))
     return found.groupBy("doc_id", "item_id").agg(F.max("o.run").alias("run"), best.alias("b")).select(

@@ -142,6 +142,23 @@ def test_overlaps_of_short_runs(spark):
     assert got == [(1, 7, 3, 9, 11), (2, 7, 3, 75, 99)]
 
 
+def test_overlaps_are_the_same_on_both_ways(spark, monkeypatch):
+    item = [f"word{k}" for k in range(108)]
+    text = item[:8] + [f"other{k}" if k % 4 == 0 else w for k, w in enumerate(item[8:], 1)]
+    assert sum(a == b for a, b in zip(item, text, strict=True)) == 83
+    rng = np.random.default_rng(8)
+    noise = [" ".join(w if rng.random() < 0.8 else "zz" for w in item[a : a + 60]) for a in (0, 20, 48)]
+    corpus = spark.createDataFrame([(1, "intro " + " ".join(text)), (2, noise[0]), (2, noise[1]), (3, noise[2])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[30:70]))], "item_id long, text string")
+    got = rows(leakage.overlaps(corpus, items))
+    last = max(k for k, (a, b) in enumerate(zip(item, text, strict=True)) if a == b)
+    assert got[0][:2] == (1, 7) and got[0][3:] == (83, last + 1)
+    for name, value in (("SEED_TABLE_ROWS", 3), ("LONG_ITEM", 50)):
+        with monkeypatch.context() as m:
+            m.setattr(leakage, name, value)
+            assert rows(leakage.overlaps(corpus, items)) == got
+
+
 def mixture(spark):
     docs = [(i, "alpha beta gamma " * (1 + i % 7), ["Big One", "BIG_ONE", "big-one"][i % 3], 0) for i in range(300)]
     docs += [(1000 + i, "delta epsilon zeta " * (2 + i % 3), "small", 0) for i in range(20)]
