@@ -119,7 +119,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     """Draw documents so that each wanted source gets its share of all tokens drawn.
 
     ``draws`` has one row per document with a text: ``(doc_id, source, tokens, p, rate, copies)``. A document's rate lies
-    between 0 and the repeats that its sources allow; its copies are the whole part of the rate plus, for the
+    between 0 and the repeats that its sources allow, on the average of its posterior (part of a copy, too) and at most
+    those of its most probable wanted source; its copies are the whole part of the rate plus, for the
     share of documents that the rest asks for, one more, decided by a hash of the id. The total is the largest at which every source can still meet
     its share under its cap. Wanted sources without any document get nothing and the others share their weight; sources
     that are not wanted are never drawn. Sources written differently are one; of repeated target rows the largest weight
@@ -132,8 +133,11 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     names = [r["source"] for r in rows]
     caps = np.array([float(r["cap"]) for r in rows])
     docs = memberships(token_counts(documents, tokenizer), names).checkpoint()
-    most = sum((F.when(F.col("p")[i] > 0, F.col("p")[i] * float(c)).otherwise(0.0) for i, c in enumerate(caps)), F.lit(0.0))
-    docs = docs.withColumn("cap", F.floor(most + 1e-9).cast("double"))
+    most = sum((F.col("p")[i] * float(c) for i, c in enumerate(caps)), F.lit(0.0))
+    # A rate of at most so many whole copies, so that no draw exceeds them.
+    likely = [F.when(F.col("p")[i] == F.array_max("p"), F.lit(float(c))) for i, c in enumerate(caps)]
+    whole = F.coalesce(*likely, F.lit(0.0))
+    docs = docs.withColumn("cap", F.least(most, whole))
     each = lambda of: [F.sum(F.col("p")[i] * F.col("tokens") * of).alias(f"s{i}") for i in range(len(names))]
     sums = lambda of: np.array([x or 0.0 for x in docs.agg(*each(of)).first()]) if names else np.empty(0)
     mass, reach = sums(F.lit(1.0)), sums(F.col("cap"))

@@ -182,6 +182,18 @@ def test_mix_meets_targets_under_caps(spark):
     assert again == {k: r["copies"] for k, r in draws.items()}
 
 
+def test_unlabelled_documents_of_a_source_without_repeats_are_drawn(spark):
+    docs = [(i, "alpha beta gamma " * 5, "once") for i in range(60)] + [(1000 + i, "delta epsilon zeta " * 5, "other") for i in range(60)]
+    docs += [(2000 + i, "alpha beta gamma " * 5, None) for i in range(60)]
+    targets = spark.createDataFrame([("once", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    m = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets)
+    draws = {r["doc_id"]: r for r in m.draws.collect()}
+    guessed = [r for k, r in draws.items() if k >= 2000]
+    assert len(guessed) == 60 and sum(r["copies"] for r in guessed) >= 45
+    assert all(r["copies"] <= 1 and 0.8 <= r["rate"] < 1.0 for r in guessed) and all(draws[k]["copies"] == 1 for k in range(60))
+    assert all(draws[1000 + i]["copies"] == 0 for i in range(60))
+
+
 def test_mix_of_nothing(spark):
     docs, targets = mixture(spark)
     assert mixing.mix(docs.limit(0), targets).draws.count() == 0
