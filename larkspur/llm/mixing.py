@@ -25,8 +25,9 @@ from larkspur.session import checkpoint_ready, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern that belongs to that vocabulary; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The classifier is fitted on at most about this many labelled documents, chosen by a hash of their id.
+#: The classifier is fitted on at most about this many labelled documents, chosen per class by a hash of their id.
 FIT_ROWS = 20_000
+HASH_PLACES = 10**15
 HASHED_WORDS = 4_096
 STEPS, TOLERANCE = 24, 1e-6
 #: Draws are thrown into so many equal slots per source, and cut where the wanted tokens are reached.
@@ -64,33 +65,48 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
     """``(doc_id, source, tokens, p)``: p is the share of the document that each of ``names`` owns, in their order.
 
     A document whose source is known belongs to it wholly (to none of ``names``, if it is another source). For the others
-    a multinomial logistic model over hashed words, fitted on documents with a known source, gives the posterior; what it
-    gives to sources outside ``names`` is lost to them.
+    a multinomial logistic model over hashed words, fitted on documents with a known source, gives the posterior. Its
+    classes are ``names`` and one for all other sources; what it gives to that one is lost to them. The fit takes all
+    documents of small classes and a sample of large ones, weighted to the number of documents it stands for.
     """
     known = counted.where("source is not null")
-    sources = [r["source"] for r in known.groupBy("source").count().orderBy(F.desc("count"), "source").limit(100).collect()]
+    number = F.coalesce(*[F.when(F.col("source") == x, F.lit(i)) for i, x in enumerate(names)], F.lit(len(names)))
+    # One row per wanted source and one for the rest.
+    sizes = {r["c"]: r["n"] for r in known.groupBy(number.alias("c")).agg(F.count("*").alias("n")).collect()}
+    classes = sorted(sizes)
     one_hot = F.array(*[(F.col("source") == n).cast("double") for n in names])
     own = known.select("doc_id", "source", "tokens", one_hot.alias("p"))
     unknown = counted.where("source is null")
-    if len(sources) < 2:
-        share = [float(sources == [n]) for n in names]
+    if len(classes) < 2:
+        share = [float(classes == [i]) for i in range(len(names))]
         return own.unionByName(unknown.select("doc_id", "source", "tokens", F.array(*map(F.lit, share)).alias("p")))
-    number = F.coalesce(*[F.when(F.col("source") == s, float(i)) for i, s in enumerate(sources)])
-    n = known.count()
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000))
+    parts = _fit_parts(sizes)
+    of = lambda value: F.coalesce(*[F.when(F.col("class") == c, F.lit(value(c))) for c in classes])
+    place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(HASH_PLACES))
+    some = known.withColumn("class", number).where(place < of(lambda c: int(parts[c] * HASH_PLACES)))
+    some = some.withColumns({"label": of(lambda c: float(classes.index(c))), "weight": of(lambda c: 1.0 / parts[c])})
     split = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+")
     hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=HASHED_WORDS, binary=True)
     featured = lambda df: hashed.transform(split.transform(df))
-    training = featured(some.withColumn("label", number).where("label is not null"))
-    model = LogisticRegression(maxIter=20, regParam=0.001, elasticNetParam=0.0, family="multinomial").fit(training)
+    training = featured(some)
+    model = LogisticRegression(maxIter=20, regParam=0.001, elasticNetParam=0.0, family="multinomial", weightCol="weight").fit(training)
     guessed = model.transform(featured(unknown))
     probability = vector_to_array("probability")
     # The model may have seen fewer classes than there are sources.
-    at = {s: i for i, s in enumerate(sources) if i < model.numClasses}
-    p = F.array(*[probability[at[x]] if x in at else F.lit(0.0) for x in names])
+    at = {c: i for i, c in enumerate(classes) if i < model.numClasses}
+    p = F.array(*[probability[at[i]] if i in at else F.lit(0.0) for i in range(len(names))])
     return own.unionByName(guessed.select("doc_id", "source", "tokens", p.alias("p")))
 
 
+def _fit_parts(sizes: dict[int, int]) -> dict[int, float]:
+    """The share of each class that the fit takes: small classes wholly, the rest of ``FIT_ROWS`` evenly by large ones."""
+    parts, left = {}, FIT_ROWS
+    for k, (c, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        take = min(n, max(1, left // (len(sizes) - k)))
+        parts[c], left = take / n, left - take
+    return parts
+
+
 @dataclass
 class Mix:
     draws: DataFrame

@@ -194,6 +194,16 @@ def test_unlabelled_documents_of_a_source_without_repeats_are_drawn(spark):
     assert all(draws[1000 + i]["copies"] == 0 for i in range(60))
 
 
+def test_small_wanted_sources_are_classes_among_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FIT_ROWS", 60)
+    docs = [(i, "alpha beta gamma " * 3, f"site {i % 120}") for i in range(1200)] + [(5000 + i, "delta epsilon zeta " * 3, "rare") for i in range(6)]
+    docs += [(9000 + i, "delta epsilon zeta " * 3, None) for i in range(5)] + [(9500, "alpha beta gamma " * 3, None)]
+    counted = mixing.token_counts(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    got = {r["doc_id"]: r["p"] for r in mixing.memberships(counted, ["absent", "rare"]).where("source is null").collect()}
+    assert len(got) == 6 and all(got[9000 + i][1] > 0.5 for i in range(5)) and got[9500][1] < 0.1 and {p[0] for p in got.values()} == {0.0}
+    assert mixing._fit_parts({0: 5, 1: 100, 2: 1000}) == {0: 1.0, 1: 0.27, 2: 0.028}
+
+
 def test_mix_of_nothing(spark):
     docs, targets = mixture(spark)
     assert mixing.mix(docs.limit(0), targets).draws.count() == 0
