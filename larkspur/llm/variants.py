@@ -75,16 +75,19 @@ def parents(pairs: DataFrame) -> DataFrame:
     return first.join(rivals.select("a_group_id").distinct(), "a_group_id", "left_anti").select(F.col("a_group_id").alias("group_id"), F.col("b_group_id").alias("parent"))
 
 
-def roots(groups: DataFrame, parent: DataFrame, jumps: int = 3) -> DataFrame:
-    """``(group_id, root)``: parents of parents, in ``jumps`` doublings (a chain of 2 ** jumps groups is followed whole).
+def roots(groups: DataFrame, parent: DataFrame) -> DataFrame:
+    """``(group_id, root)``: parents of parents, doubled until no root changes, so that chains of any length are followed.
 
-    A parent ranks above its child, so there are no cycles.
+    A parent ranks above its child, so there are no cycles. Each round is checkpointed; their number is the logarithm of
+    the longest chain.
     """
-    at = groups.select("group_id").join(parent, "group_id", "left").select("group_id", F.coalesce("parent", "group_id").alias("root"))
-    for _ in range(jumps):
+    at = groups.select("group_id").join(parent, "group_id", "left").select("group_id", F.coalesce("parent", "group_id").alias("root")).checkpoint()
+    while True:
         up = at.select(F.col("group_id").alias("root"), F.col("root").alias("up"))
-        at = at.join(up, "root").select("group_id", F.col("up").alias("root"))
-    return at
+        moved = at.join(up, "root").select("group_id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")).checkpoint()
+        at = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            return at
 
 
 def clusters(names: DataFrame, column: str) -> DataFrame:

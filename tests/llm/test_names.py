@@ -133,3 +133,12 @@ def test_link_empty(spark):
     r, c, f = (table(spark, DATA, t) for t in ("sponsor_records", "companies", "filer_records"))
     assert linkage.link(r.limit(0), c, f).count() == 0
     assert linkage.link(r, c.limit(0), f.limit(0)).count() == 0
+
+
+def test_roots_follow_chains_of_any_length(spark):
+    from larkspur.session import checkpoint_ready
+
+    checkpoint_ready(spark)
+    groups = spark.range(1, 42).withColumnRenamed("id", "group_id")
+    parent = groups.where("group_id between 2 and 40").select("group_id", (F.col("group_id") - 1).alias("parent"))
+    assert {r["group_id"]: r["root"] for r in variants.roots(groups, parent).collect()} == {k: 1 for k in range(1, 41)} | {41: 41}
