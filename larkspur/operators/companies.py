@@ -9,30 +9,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.display import ratio
 from larkspur.functions.tokens import ACTIVE, phase_text, token, whole
-from larkspur.operators.snapshots import load_calendar, states
+from larkspur.operators.snapshots import Calendar, load_calendar, newest_states
 
 
-def newest_load(state: DataFrame, loads: DataFrame) -> DataFrame:
+def newest_load(state: DataFrame, loads: DataFrame | Calendar) -> DataFrame:
     """The rows of ``state`` that hold in the last load."""
-    cal, _ = load_calendar(loads)
-    return state.join(F.broadcast(cal.agg(F.max("seq").alias("load_seq"))), "load_seq", "left_semi")
+    calendar = load_calendar(loads)
+    if calendar.starts is not None:
+        return state.where(F.col("load_seq") == calendar.last_seq())
+    return state.join(F.broadcast(calendar.rows.agg(F.max("seq").alias("load_seq"))), "load_seq", "left_semi")
 
 
-def current_trials(trials: DataFrame, loads: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
+def current_trials(trials: DataFrame, loads: DataFrame | Calendar, fetch_log: DataFrame | None) -> DataFrame:
     """``(ticker, nct_id, id, title, phase, status, lead_sponsor)``: one row per study and company in the newest load."""
     payload = [
         F.col("id"), F.col("title"), F.coalesce(phase_text(F.col("phase")), F.lit("")).alias("phase"), token(F.col("status")).alias("status"), F.col("lead_sponsor")
     ]
-    all_states = states(trials, loads, fetch_log, "registry", F.col("nct_id"), payload)
-    return newest_load(all_states, loads).select(F.col("entity").alias("ticker"), F.col("item").alias("nct_id"), "id", "title", "phase", "status", "lead_sponsor")
+    newest = newest_states(trials, loads, fetch_log, "registry", F.col("nct_id"), payload)
+    return newest.select(F.col("entity").alias("ticker"), F.col("item").alias("nct_id"), "id", "title", "phase", "status", "lead_sponsor")
 
 
-def current_figures(financials: DataFrame, loads: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
+def current_figures(financials: DataFrame, loads: DataFrame | Calendar, fetch_log: DataFrame | None) -> DataFrame:
     """``(ticker, id, metric, fiscal_year, value)``: one row per company, metric and year in the newest load; whole dollars."""
     key = F.struct("metric", "fiscal_year")
     payload = [F.col("id"), whole(F.col("value")).alias("value")]
     known = financials.where("metric is not null and fiscal_year is not null")
-    rows = newest_load(states(known, loads, fetch_log, "filings", key, payload), loads)
+    rows = newest_states(known, loads, fetch_log, "filings", key, payload)
     return rows.select(F.col("entity").alias("ticker"), "id", F.col("item.metric").alias("metric"), F.col("item.fiscal_year").alias("fiscal_year"), "value")
 
 

@@ -104,7 +104,8 @@ def snapshot_replay(spark: SparkSession, sf: str) -> DataFrame:
     has no row here.
     """
     t, loads = table(spark, sf, "trials"), table(spark, sf, "loads")
-    calendar, _ = snapshots.load_calendar(loads)
+    loads = snapshots.load_calendar(loads)
+    calendar = loads.rows
     rows = snapshots.assign_load(t.select("company_ticker", "id", "fetched_at"), loads).groupBy("company_ticker", F.col("load_seq").alias("seq"))
     rows = rows.agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
     ok = table(spark, sf, "fetch_log").where((F.col("feed") == "registry") & (F.col("outcome") == "ok") & F.col("company_ticker").isNotNull())

@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.functions.tokens import phase_set, token, whole
-from larkspur.operators.snapshots import changes, states, versions
+from larkspur.operators.snapshots import Calendar, changes, load_calendar, states, versions
 from larkspur.session import table
 
 
-def _trial_states(spark: SparkSession, sf: str, by_key: bool, phases: bool) -> DataFrame:
+def _trial_states(spark: SparkSession, sf: str, calendar: Calendar, phases: bool) -> DataFrame:
     payload = [token(F.col("status")).alias("status")] + ([phase_set(F.col("phase")).alias("phases")] if phases else [])
-    return states(
-        table(spark, sf, "trials"), table(spark, sf, "loads"), table(spark, sf, "fetch_log"), "registry", F.col("nct_id"), payload, by_key=by_key
-    )
+    return states(table(spark, sf, "trials"), calendar, table(spark, sf, "fetch_log"), "registry", F.col("nct_id"), payload)
 
 
-def _figure_states(spark: SparkSession, sf: str, by_key: bool = False) -> DataFrame:
+def _figure_states(spark: SparkSession, sf: str, calendar: Calendar) -> DataFrame:
     key = F.concat("metric", F.lit(":"), F.col("fiscal_year").cast("string"))
-    return states(
-        table(spark, sf, "financials"), table(spark, sf, "loads"), table(spark, sf, "fetch_log"), "filings", key, [whole(F.col("value")).alias("value")], by_key=by_key
-    )
+    return states(table(spark, sf, "financials"), calendar, table(spark, sf, "fetch_log"), "filings", key, [whole(F.col("value")).alias("value")])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    loads = table(spark, sf, "loads")
+    calendar = load_calendar(table(spark, sf, "loads"))
     named = lambda df, name: df.select(F.lit(name).alias("record_set"), "load_id", F.col("entity").alias("company_ticker"), F.col("item").alias("item_key"), "change_type")
-    trials = changes(_trial_states(spark, sf, False, False), loads, ["status"])
-    figures = changes(_figure_states(spark, sf), loads, ["value"])
+    trials = changes(_trial_states(spark, sf, calendar, False), calendar, ["status"])
+    figures = changes(_figure_states(spark, sf, calendar), calendar, ["value"])
     return named(trials, "trials").unionByName(named(figures, "financials"))
 
 
@@ -37,13 +33,15 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    v = versions(_trial_states(spark, sf, True, True), table(spark, sf, "loads"), ["status", "phases"])
+    calendar = load_calendar(table(spark, sf, "loads"))
+    v = versions(_trial_states(spark, sf, calendar, True), calendar, ["status", "phases"])
     return v.select(F.col("entity").alias("company_ticker"), F.col("item").alias("nct_id"), "from_load", "to_load")
 
 
 def p4_figures(spark: SparkSession, sf: str) -> DataFrame:
     """The same history for whole-dollar figures, with the value that held."""
-    v = versions(_figure_states(spark, sf, True), table(spark, sf, "loads"), ["value"])
+    calendar = load_calendar(table(spark, sf, "loads"))
+    v = versions(_figure_states(spark, sf, calendar), calendar, ["value"])
     return v.select(F.col("entity").alias("company_ticker"), F.col("item").alias("item_key"), "from_load", "to_load", "value")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.functions.tokens import ACTIVE
 from larkspur.operators import claims, scores, vectors
-from larkspur.operators.companies import CompanyFilter
+from larkspur.operators.companies import CompanyFilter, company_summary
 from larkspur.queries.companies import CURRENT, _figures, _summary, _trials
 from larkspur.session import table
 
@@ -33,20 +33,20 @@ def trial_topk_per_query(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.topk_per_query(t, q, 8, 0.40, 64).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-def _answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Six questions: the engine's filters, and truths from the rows themselves."""
-    s = _summary(spark, sf)
-    asked = {
-        "late stage": CompanyFilter(has_phase3=True),
-        "cash above R&D": CompanyFilter(min_runway=1.0),
-        "bio research": CompanyFilter(sector="Bio research"),
-        "cash above 2e9": CompanyFilter(min_cash=2e9),
-        "R&D above 1e8": CompanyFilter(min_rd=1e8),
-        "more than 20 active": CompanyFilter(min_active_trials=20),
-    }
-    true_for = lambda conditions: F.explode(F.array_compact(F.array(*[F.when(c, q) for q, c in conditions.items()])))
-    system = s.select(true_for({q: flt.condition() for q, flt in asked.items()}).alias("question"), F.col("ticker").alias("item"))
-    t, f, c = _trials(spark, sf), _figures(spark, sf), table(spark, sf, "companies").select("ticker", "sector")
+ASKED = {
+    "late stage": CompanyFilter(has_phase3=True),
+    "cash above R&D": CompanyFilter(min_runway=1.0),
+    "bio research": CompanyFilter(sector="Bio research"),
+    "cash above 2e9": CompanyFilter(min_cash=2e9),
+    "R&D above 1e8": CompanyFilter(min_rd=1e8),
+    "more than 20 active": CompanyFilter(min_active_trials=20),
+}
+
+
+def _true_of(rows: DataFrame) -> DataFrame:
+    """Company rows with what is true of them, ``(ticker, true)``, computed from study and figure rows apart from the
+    summary: one row per company, ``true`` an array of questions."""
+    t, f, c = rows
     newest = f.where("value is not null").groupBy("ticker", "metric").agg(F.max_by("value", "fiscal_year").alias("value"))
     money = newest.groupBy("ticker").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in (("cash", "cash"), ("rd_expense", "rd"))])
     seen = t.groupBy("ticker").agg(F.bool_or(F.expr("phase like '%PHASE3%' or phase like '%PHASE4%'")).alias("late"), F.count_if(F.col("status").isin(*ACTIVE)).alias("active"))
@@ -58,21 +58,38 @@ def _answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
         "R&D above 1e8": F.expr("rd > 1e8"),
         "more than 20 active": F.expr("active > 20"),
     }
-    truth = c.join(money, "ticker", "left").join(seen, "ticker", "left").select(true_for(truths).alias("question"), F.col("ticker").alias("item"))
-    questions = spark.createDataFrame([(q,) for q in asked], "question string")
-    return system, truth, questions
+    return c.join(money, "ticker", "left").join(seen, "ticker", "left").select("ticker", F.array_compact(F.array(*[F.when(x, q) for q, x in truths.items()])).alias("true"))
+
+
+def _marks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Six questions: the engine's filters beside truths from the rows themselves, ``(question, item, s, t)``, and the questions.
+
+    Both answers are columns of one row per company, so the two sides need no join of their items.
+    """
+    t, f, c = _trials(spark, sf), _figures(spark, sf), table(spark, sf, "companies")
+    told = company_summary(c, t, f).select("ticker", F.array_compact(F.array(*[F.when(x.condition(), q) for q, x in ASKED.items()])).alias("told"))
+    both = told.join(_true_of((t, f, c.select("ticker", "sector"))), "ticker")
+    marks = both.select(F.explode(F.array_union("told", "true")).alias("question"), F.col("ticker").alias("item"), "told", "true")
+    marks = marks.select("question", "item", F.array_contains("told", F.col("question")).alias("s"), F.array_contains("true", F.col("question")).alias("t"))
+    return marks, spark.createDataFrame([(q,) for q in ASKED], "question string")
 
 
 def precision_recall_exact(spark: SparkSession, sf: str) -> DataFrame:
-    r = scores.set_scores(*_answers(spark, sf))
+    r = scores.marked_scores(*_marks(spark, sf))
     return r.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
 def mean_scores(spark: SparkSession, sf: str) -> DataFrame:
-    m = scores.mean_scores(scores.set_scores(*_answers(spark, sf)))
+    m = scores.mean_scores(scores.marked_scores(*_marks(spark, sf)))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
+def true_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The true companies of each question, from study and figure rows, and how many they are."""
+    rows = _true_of((_trials(spark, sf), _figures(spark, sf), table(spark, sf, "companies").select("ticker", "sector")))
+    return rows.select(F.explode("true").alias("question"), "ticker").groupBy("question").agg(F.count("*").alias("n"), F.min("ticker").alias("first_ticker"), F.max("ticker").alias("last_ticker"))
+
+
 def money_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct amounts that documents name, in millions."""
     d = table(spark, sf, "documents").where("doc_id is not null").select("doc_id", F.posexplode(claims.amounts(F.col("text"))).alias("at", "v"))
@@ -102,7 +119,7 @@ def groundedness_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk_floor, vector_topk_per_query, trial_topk_per_query, precision_recall_exact, mean_scores, money_claims, status_claims, groundedness_rate)
+    for f in (vector_topk_floor, vector_topk_per_query, trial_topk_per_query, precision_recall_exact, mean_scores, true_answers, money_claims, status_claims, groundedness_rate)
 }
 
 _ANSWERS = f"""{CURRENT}, system AS (
@@ -142,6 +159,12 @@ SQL = {
     "trial_topk_per_query": _NEAREST.format(id="id", table="trials", floor=0.40).replace("id AS id,", "id,").replace("id AS id ", "id "),
     "precision_recall_exact": f"{_ANSWERS} SELECT question, answered, wanted, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, exact, missed, extra FROM sc",
     "mean_scores": f"{_ANSWERS} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(exact::INT), 6) AS exact FROM sc",
+    "true_answers": f"""{CURRENT}, money AS (SELECT ticker, arg_max(value, fiscal_year) FILTER (metric = 'cash' AND value IS NOT NULL) AS cash, arg_max(value, fiscal_year) FILTER (metric = 'rd_expense' AND value IS NOT NULL) AS rd FROM fig GROUP BY 1),
+seen AS (SELECT ticker, bool_or(regexp_matches(phase, 'PHASE[34]')) AS late, count(*) FILTER (status IN ('RECRUITING', 'ACTIVE_NOT_RECRUITING', 'ENROLLING_BY_INVITATION')) AS active FROM cur GROUP BY 1),
+a AS (SELECT 'late stage' AS question, ticker FROM companies JOIN seen USING (ticker) WHERE late UNION ALL SELECT 'more than 20 active', ticker FROM companies JOIN seen USING (ticker) WHERE active > 20
+  UNION ALL SELECT 'cash above R&D', ticker FROM companies JOIN money USING (ticker) WHERE cash > rd AND rd > 0 UNION ALL SELECT 'cash above 2e9', ticker FROM companies JOIN money USING (ticker) WHERE cash > 2e9
+  UNION ALL SELECT 'R&D above 1e8', ticker FROM companies JOIN money USING (ticker) WHERE rd > 1e8 UNION ALL SELECT 'bio research', ticker FROM companies WHERE sector = 'Bio research')
+SELECT question, count(*) AS n, min(ticker) AS first_ticker, max(ticker) AS last_ticker FROM a GROUP BY 1""",
     "money_claims": _AMOUNTS,
     "status_claims": f"""{CURRENT}, f AS (SELECT nct_id, max(concat_ws(' ', nct_id, status, phase)) AS facts FROM cur GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS a, coalesce(facts, '') AS r FROM documents LEFT JOIN f USING (nct_id)),
