@@ -49,3 +49,35 @@ def linked(base: str, value: Column) -> Column:
 def linked_ticker(fragment: Column) -> Column:
     """The ticker in a ``#/c/<letters and dots>`` link, or an empty text."""
     return F.regexp_extract(fragment, r"^#/c/([A-Za-z.]+)", 1)
+
+
+def one_decimal(x: Column) -> Column:
+    """One decimal place of the exact binary value, ties to even, as text: 0.25 gives ``0.2``, 0.35 (a little less) ``0.3``.
+
+    The fraction is taken apart into two pieces whose tenfold is exact, so that a tie is told from its neighbours.
+    """
+    size = F.abs(x)
+    fraction = size - F.floor(size)
+    high = F.floor(fraction * 2**26) / 2**26
+    tenths = F.floor(high * 10)
+    over = (high * 10 - tenths - 0.5) + (fraction - high) * 10
+    up = (over > 0) | ((over == 0) & (tenths % 2 == 1))
+    all_tenths = F.floor(size) * 10 + tenths + up.cast("bigint")
+    sign = F.when((x < 0) & (all_tenths > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(all_tenths / 10).cast("string"), F.lit("."), (all_tenths % 10).cast("string"))
+
+
+def fact_sheet(header: Column, label: Column, evidence: Column) -> Column:
+    """Header, label and one bullet per evidence text on lines; missing parts are left out."""
+    bullets = F.transform(F.filter(evidence, lambda e: e.isNotNull()), lambda e: F.concat(F.lit("  - "), e))
+    return F.concat_ws("\n", header, label, bullets)
+
+
+def labelled(code: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; an unknown or missing code has none."""
+    return F.coalesce(*[F.when(code == k, v) for k, v in labels.items()], F.lit(None).cast("string"))
+
+
+def first_given(*ids: Column) -> Column:
+    """The first identifier that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(i, F.lit("")) for i in ids])

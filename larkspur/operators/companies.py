@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from larkspur.functions.display import ratio
 from larkspur.functions.tokens import ACTIVE, phase_text, token, whole
@@ -138,3 +138,46 @@ def bar_heights(counts: DataFrame, by: str, n: str) -> DataFrame:
     top = counts.groupBy(by).agg(F.greatest(F.lit(1), F.max(n)).alias("__top"))
     bar = F.when(F.col(n) == 0, 3).otherwise(F.floor(F.col(n) * 120 / F.col("__top") + 0.5) + 6)
     return counts.join(top, by).withColumn("height", bar.cast("int")).drop("__top")
+
+
+def figures_with_reason(companies: DataFrame, numbers: DataFrame, figures: DataFrame) -> DataFrame:
+    """``(ticker, financials)`` of every company: ``financials`` is ``(available, reason, rd_expense, cash)``.
+
+    numbers: ``(ticker, cik)``, the known filer numbers. A company without a number, or without any figure, is not
+    available and has the reason; one figure of the two is enough. Each figure is ``(value, fiscal_year)`` or null.
+    """
+    latest = latest_annual(figures)
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.struct("value", "fiscal_year")))
+    wide = latest.groupBy("ticker").agg(of("rd_expense").alias("rd_expense"), of("cash").alias("cash"))
+    known = numbers.where("cik is not null").groupBy("ticker").agg(F.min("cik").alias("__cik"))
+    both = companies.select("ticker").join(known, "ticker", "left").join(wide, "ticker", "left")
+    none = F.col("rd_expense").isNull() & F.col("cash").isNull()
+    reason = F.when(F.col("__cik").isNull(), "no filer number").when(none, "no figures")
+    shown = lambda c: F.when(reason.isNull(), F.col(c)).alias(c)
+    return both.select("ticker", F.struct(reason.isNull().alias("available"), reason.alias("reason"), shown("rd_expense"), shown("cash")).alias("financials"))
+
+
+def company_detail(companies: DataFrame, trials: DataFrame, financials: DataFrame, first: int = 20) -> DataFrame:
+    """One nested row per company: ``ticker, name, pipeline (total, active, terminated, by_phase, by_status), financials,
+    trials``, the ``first`` studies by id.
+
+    Counts are maps from phase or status to a number; a null status is the key ``UNKNOWN``. Maps and studies are gathered
+    after they are reduced, so that a company with very many studies is no large group.
+    """
+    def by(column: str, name: str) -> DataFrame:
+        counts = trials.groupBy("ticker", F.coalesce(column, F.lit("UNKNOWN")).alias("k")).agg(F.count("*").alias("n"))
+        return counts.groupBy("ticker").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    place = F.row_number().over(W.partitionBy("ticker").orderBy("id"))
+    few = trials.select("ticker", "id", "nct_id", "phase", "status").withColumn("__place", place).where(F.col("__place") <= first)
+    few = few.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("id", "nct_id", "phase", "status"))).alias("trials"))
+    base = companies.select("ticker", "name").join(pipeline_summary(trials), "ticker", "left").join(by("phase", "by_phase"), "ticker", "left")
+    base = base.join(by("status", "by_status"), "ticker", "left").join(few, "ticker", "left").join(financials, "ticker", "left")
+    zero = lambda c, n: F.coalesce(c, F.lit(0)).alias(n)
+    pipeline = F.struct(zero("total_trials", "total"), zero("active_trials", "active"), zero("terminated_trials", "terminated"), "by_phase", "by_status")
+    return base.select("ticker", "name", pipeline.alias("pipeline"), "financials", "trials")
+
+
+def unlisted(rows: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """Distinct values of ``column`` that are not among those listed; nulls and empty texts are none."""
+    return rows.where(F.col(column) != "").select(column).distinct().join(listed.select(column), column, "left_anti")

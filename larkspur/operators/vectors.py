@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 #: Rows and queries per block of a search with many queries.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
@@ -89,3 +89,25 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], np.ndarray], id_col:
                 yield pd.DataFrame({id_col: part[id_col], "vector": list(np.asarray(embed(list(part[text])), np.float32))})
 
     return rows.select(F.col(id_col).cast("long").alias(id_col), text).mapInPandas(run, f"{id_col} long, vector array<float>")
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(v: pd.Series) -> pd.Series:
+    """A vector as little-endian 32-bit floats; null stays null."""
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def unpacked(b: pd.Series) -> pd.Series:
+    """The vector in a text of little-endian 32-bit floats; null, and a length that is no multiple of four, give null."""
+    return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
+
+
+def kept_index(rows: DataFrame, size: int, path: str) -> DataFrame:
+    """Usable vectors at unit length, written once to ``path`` and read from there by every search: ``(id, v)``.
+
+    Rows of another length are left out, so that no search meets them.
+    """
+    good = rows.where(usable(F.col("v"), size)).select("id", F.col("v").cast("array<double>").alias("v")).withColumn("__n", norm(F.col("v")))
+    good.select("id", F.transform("v", lambda x: x / F.col("__n")).alias("v")).write.parquet(path)
+    return rows.sparkSession.read.schema("id long, v array<double>").parquet(path)

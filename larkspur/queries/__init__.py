@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.queries import companies, extract, history, scoring
+from larkspur.queries import companies, details, extract, history, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**history.QUERIES, **companies.QUERIES, **extract.QUERIES, **scoring.QUERIES}
+    return {**history.QUERIES, **companies.QUERIES, **extract.QUERIES, **scoring.QUERIES, **details.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**history.SQL, **companies.SQL, **extract.SQL, **scoring.SQL}
+    return {**history.SQL, **companies.SQL, **extract.SQL, **scoring.SQL, **details.SQL}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from larkspur.functions.names import padded_id
+from larkspur.functions.names import first_core_word, padded_id
 
 STUDY = (
     "STRUCT<protocolSection: STRUCT<identificationModule: STRUCT<nctId: STRING, briefTitle: STRING>, statusModule: STRUCT<overallStatus: STRING>, "
@@ -39,6 +39,14 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(UNIVERSE).json(path, multiLine=True)
 
 
+def read_or(spark: SparkSession, path: str, schema: str, fallback: DataFrame) -> DataFrame:
+    """The JSON file at ``path``, or ``fallback`` where there is none; rows that don't parse are left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return fallback
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def write_universe(universe: DataFrame, path: str) -> None:
     """JSON lines in the order of tickers."""
     universe.select("ticker", "name", "cik", "sector").orderBy("ticker").write.mode("overwrite").json(path)
@@ -129,3 +137,27 @@ def universe(listing: DataFrame, tickers: DataFrame, with_trials: DataFrame, wit
     named = last_wins(tickers, "cik", "position").select("cik", "ticker", F.col("title").alias("name"))
     both = named.join(sectors, "cik").join(with_trials.select("ticker"), "ticker", "left_semi").join(with_figures.select("cik"), "cik", "left_semi")
     return both.select("ticker", "name", "cik", "sector")
+
+
+def stamped(rows: DataFrame, column: str = "fetched_at") -> DataFrame:
+    """Add the time of the load; all rows of one run get the same."""
+    return rows.withColumn(column, F.to_timestamp_ntz(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+
+
+def stored_else_landed(stored: DataFrame, landed: DataFrame, key: str) -> DataFrame:
+    """The stored rows, and the landed rows of keys that have none stored; ``from_store`` tells them apart."""
+    missed = landed.join(stored.select(key).distinct(), key, "left_anti")
+    return stored.withColumn("from_store", F.lit(True)).unionByName(missed.withColumn("from_store", F.lit(False)), allowMissingColumns=True)
+
+
+def has_trials(companies: DataFrame, studies: DataFrame, first: int = 20) -> DataFrame:
+    """Companies ``(ticker, name)`` whose name's first core word is in the lead sponsor of one of their first studies.
+
+    studies: ``(ticker, position, lead_sponsor)``; only the ``first`` by position are looked at. A name without a core
+    word is in every lead sponsor; a null name, or null sponsors only, match nothing.
+    """
+    place = F.row_number().over(W.partitionBy("ticker").orderBy("position"))
+    page = studies.select("ticker", "position", "lead_sponsor").withColumn("__place", place).where(F.col("__place") <= first)
+    words = companies.select("ticker", first_core_word(F.col("name")).alias("__word"))
+    hit = page.join(words, "ticker").where(F.contains(F.lower("lead_sponsor"), F.col("__word"))).select("ticker").distinct()
+    return companies.join(hit, "ticker", "left_semi")

@@ -1,4 +1,5 @@
-"""Landed study pages as a stream: each micro-batch replaces the rows of the companies it brings."""
+"""Landed study pages as a stream: each micro-batch replaces the rows of the companies it brings,
+in the buckets of these companies only."""
 
 from __future__ import annotations
 
