@@ -7,21 +7,33 @@ over the rated documents are aggregated in Spark, and the resulting linear score
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from larkspur.session import checkpoint_ready, spread
+from larkspur.llm.words import portions
+from larkspur.session import checkpoint_ready, shared_folder, spread
 
 #: Shares of a document's words that the vocabulary must cover.
 SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
 FEATURES = (*(f"cover_{int(s * 100)}" for s in SHARES), "sentence", "spread", "letters", "long", "short")
-#: Up to this many of the most frequent words are broadcast; rarer ones are joined by a shuffle.
+#: Up to this many of the most frequent words are sent to the tasks; rarer ones are joined by a shuffle.
 HEAD_WORDS = 500_000
 #: Endings that mark telegraphic English; fixed values.
 ENGLISH_ENDING = "(?:tion|ing|ed|ity|ology|ible|able|ly|ment|ness|ous|ive)s?$"
-WORD = r"\p{L}+(?:['’]\p{L}+)*"
+_WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
+#: The same where all letters are plain.
+_PLAIN_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
+_PIECE = regex.compile(r"[^\s\p{L}\p{N}]*[\p{L}\p{N}]\S*")
+_PLAIN_PIECE = re.compile(r"[^\sA-Za-z0-9]*[A-Za-z0-9]\S*")
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n+")
+_TAG, _ENTITY = regex.compile(r"<[/!?]?\p{L}[^<>]*>"), re.compile(r"&(?:[a-zA-Z]+|#\d+);")
 #: Common function words by language; fixed values. Words that English uses as much (a, as, do, no, in, is, per, met) only
 #: count for English, or not at all.
 FUNCTION_WORDS = {
@@ -33,46 +45,60 @@ FUNCTION_WORDS = {
     "pt": "o os de da dos das que e em um uma para com por não se ao na foi são".split(),
     "nl": "de het een en van dat op te voor niet zijn aan door werd bij ook".split(),
 }
+_FUNCTION_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_ENDING = re.compile(ENGLISH_ENDING)
 
 
-def plain(text: Column) -> Column:
-    """Text without tags and the common entities."""
-    return F.regexp_replace(F.regexp_replace(text, r"<[/!?]?\p{L}[^<>]*>", " "), r"&(?:[a-zA-Z]+|#\d+);", " ")
+WORDED = "doc_id long, words array<string>, n_tokens int, sentence double, spread double"
+MEASURED = ", ".join(["doc_id long", "n_words int", *[f"{c} double" for c in FEATURES], "english boolean", "tail array<string>", "wanted array<int>"])
+
+
+def _taken_apart(text: str) -> tuple[list[str], int, float, float]:
+    """Words, number of pieces, and log mean and deviation of words per sentence of one text."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = _ENTITY.sub(" ", text)
+    word, piece = (_PLAIN_WORD, _PLAIN_PIECE) if text.isascii() else (_WORD, _PIECE)
+    words, lengths = [], []
+    for s in _SENTENCE_END.split(text):
+        own = word.findall(s)
+        words += own
+        if len(own) >= 2:
+            lengths.append(len(own))
+    lengths = lengths or [max(1, len(words))]
+    mean = sum(lengths) / len(lengths)
+    spread = (max(0.0, sum(x * x for x in lengths) / len(lengths) - mean * mean)) ** 0.5 / 10
+    return [w.lower() for w in words], len(piece.findall(text)), float(np.log(mean)), spread
 
 
 def with_words(documents: DataFrame) -> DataFrame:
     """``(doc_id, words, n_tokens, sentence, spread)`` of each document with words.
 
-    words: runs of letters in lower case. n_tokens: pieces between white space that hold a letter or digit. sentence and
-    spread: log mean and deviation (in tens) of words per sentence, over sentences of two words or more.
+    words: runs of letters in lower case, without tags and the common entities. n_tokens: pieces between white space that
+    hold a letter or digit. sentence and spread: log mean and deviation (in tens) of words per sentence, over sentences of
+    two words or more.
     """
-    text = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("t"))
-    per = F.filter(F.transform(F.split("t", r"[.!?]+(?=\s|$)|\n+"), lambda s: F.regexp_count(s, F.lit(WORD))), lambda n: n >= 2)
-    df = text.select(
-        "doc_id",
-        F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)).alias("words"),
-        F.regexp_count("t", F.lit(r"[^\s\p{L}\p{N}]*[\p{L}\p{N}]\S*")).alias("n_tokens"),
-        per.alias("per"),
-    ).where(F.size("words") > 0)
-    m = F.size("per")
-    total = F.aggregate("per", F.lit(0.0), lambda s, x: s + x)
-    squares = F.aggregate("per", F.lit(0.0), lambda s, x: s + x * x)
-    df = df.withColumn("mean", F.when(m > 0, total / m).otherwise(F.size("words").cast("double")))
-    spread = F.when(m > 0, F.sqrt(F.greatest(squares / m - F.col("mean") * F.col("mean"), F.lit(0.0))) / 10).otherwise(0.0)
-    return df.select("doc_id", "words", "n_tokens", F.log("mean").alias("sentence"), spread.alias("spread"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (part for batch in batches for part in portions(batch)):
+            rows = [(i, *_taken_apart(t)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["doc_id", "words", "n_tokens", "sentence", "spread"])
+
+    text = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return text.mapInPandas(run, WORDED)
 
 
 def word_ranks(worded: DataFrame) -> DataFrame:
-    """``(word, rank, <a 0/1 column per language>)``.
+    """``(word, rank)``: the size of the smallest vocabulary of most frequent words that holds the word; words of equal
+    frequency share a rank.
 
-    rank: the size of the smallest vocabulary of most frequent words that holds the word; words of equal frequency share
-    a rank. The window runs over distinct frequencies, of which there are few.
+    The window runs over distinct frequencies: with N words in all documents there are fewer than the root of 2 N.
     """
     counts = worded.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     levels = counts.groupBy("n").agg(F.count("*").alias("m"))
-    levels = levels.select("n", F.sum("m").over(W.orderBy(F.desc("n"))).cast("int").alias("rank"))
-    flags = [F.col("word").isin(v).cast("int").alias(k) for k, v in FUNCTION_WORDS.items()]
-    return counts.join(levels, "n").select("word", "rank", *flags)
+    levels = levels.select("n", F.sum("m").over(W.orderBy(F.desc("n"))).alias("rank"))
+    return counts.join(levels, "n").select("word", "rank")
 
 
 def features(worded: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -81,35 +107,67 @@ def features(worded: DataFrame, ranks: DataFrame) -> DataFrame:
     cover_*: log of the rank that so large a share of a document's words reaches. letters, long and short: mean length,
     share of words of ten letters or more and of four or fewer. English: no other known language has more function words,
     and they are 8 % of the words, or else 15 % of the words have an English ending (telegraphic texts). Where 30 % have
-    one, another language must have 8 % to win.
+    one, another language must have 8 % to win. Of rows with one id the one with most words counts.
 
-    The most frequent words are broadcast, at most ``HEAD_WORDS``; words beyond that are rare, so none is a hot key, and
-    their ranks come by a shuffled join. Partial sums are made before the shuffle by document.
+    A document's words stay in its row. The most frequent words, at most ``HEAD_WORDS``, are sent to the tasks with their
+    ranks. Only documents whose coverage reaches beyond these go on to a shuffle, with their rarer words alone; these are
+    rare everywhere, so none is a hot key.
     """
-    row = ["doc_id", "sentence", "spread"]
-    tokens = worded.select(*row, F.explode("words").alias("word"))
-    found = tokens.join(F.broadcast(ranks.where(F.col("rank") <= HEAD_WORDS)), "word", "left")
-    if ranks.where(F.col("rank") > HEAD_WORDS).limit(1).count():
-        tail = found.where("rank is null").select(*row, "word").join(ranks.where(F.col("rank") > HEAD_WORDS), "word")
-        found = found.where("rank is not null").unionByName(tail)
-    length = F.length("word")
-    docs = found.groupBy("doc_id").agg(
-        F.first("sentence").alias("sentence"),
-        F.first("spread").alias("spread"),
-        F.count("*").cast("int").alias("n_words"),
-        F.avg(length).alias("letters"),
-        F.avg((length >= 10).cast("int")).alias("long"),
-        F.avg((length <= 4).cast("int")).alias("short"),
-        F.avg(F.col("word").rlike(ENGLISH_ENDING).cast("int")).alias("endings"),
-        *[F.sum(k).alias(k) for k in FUNCTION_WORDS],
-        F.sort_array(F.collect_list("rank")).alias("r"),
-    )
-    most = F.greatest(*[F.col(k) for k in FUNCTION_WORDS if k != "en"])
-    english = (F.col("en") >= most) & ((F.col("en") >= 0.08 * F.col("n_words")) | (F.col("endings") >= 0.15))
-    english |= (F.col("endings") >= 0.3) & (most < 0.08 * F.col("n_words"))
-    at = lambda s: F.log(F.element_at("r", F.greatest(F.lit(1), F.ceil(F.size("r") * F.lit(s)).cast("int"))).cast("double"))
-    covers = {name: at(s) for s, name in zip(SHARES, FEATURES, strict=False)}
-    return docs.where(english).withColumns(covers).select("doc_id", "n_words", *FEATURES)
+    spark = worded.sparkSession
+    head = ranks.where(F.col("rank") <= HEAD_WORDS).toArrow()
+    sent = spark.sparkContext.broadcast((head["word"].to_pylist(), head["rank"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rank = sent.value
+        rank_of = dict(zip(words, rank.tolist(), strict=True))
+        for batch in batches:
+            if batch.num_rows:
+                yield _measured(batch, rank_of)
+
+    measured = worded.mapInArrow(run, MEASURED).where("english").drop("english")
+    best = F.max_by(F.struct(*[c for c in measured.columns if c != "doc_id"]), F.struct("n_words", *FEATURES))
+    covers = FEATURES[: len(SHARES)]
+    rare = measured.where(F.size("tail") > 0)
+    if rare.limit(1).count():
+        one = measured.groupBy("doc_id").agg(best.alias("m")).select("doc_id", "m.*")
+        ranked = one.where(F.size("tail") > 0).select("doc_id", F.explode("tail").alias("word")).join(ranks.where(F.col("rank") > HEAD_WORDS), "word")
+        lists = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list("rank")).alias("r"))
+        both = one.join(lists, "doc_id", "left")
+        at = lambda k: F.log(F.try_element_at("r", F.get("wanted", F.lit(k))).cast("double"))
+        filled = {c: F.when(F.get("wanted", F.lit(k)) > 0, at(k)).otherwise(F.col(c)) for k, c in enumerate(covers)}
+        return both.withColumns(filled).select("doc_id", "n_words", *FEATURES)
+    return measured.groupBy("doc_id").agg(best.alias("m")).select("doc_id", "m.n_words", *[f"m.{c}" for c in FEATURES])
+
+
+def _measured(batch: pa.RecordBatch, rank_of: dict[str, int]) -> pa.RecordBatch:
+    """The figures of each document of a batch; ``wanted`` has, per share, which of the ``tail`` words in order of rank it
+    asks for, or 0 where the share is covered by words with a known rank."""
+    lists = batch.column("words")
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    known, code = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    length = np.array([len(w) for w in known], float)
+    ranks = np.array([rank_of.get(w, 0) for w in known], np.int64)
+    flags = np.column_stack([length, length >= 10, length <= 4, [bool(_ENDING.search(w)) for w in known], *[[w in s for w in known] for s in _FUNCTION_SETS.values()]])
+    starts = np.r_[0, np.cumsum(n)[:-1]]
+    sums = np.add.reduceat(flags[code], starts, axis=0)
+    letters, long, short, ending = (sums[:, :4] / n[:, None]).T
+    spoken = dict(zip(_FUNCTION_SETS, sums[:, 4:].T, strict=True))
+    most = np.max([v for k, v in spoken.items() if k != "en"], axis=0)
+    english = (spoken["en"] >= most) & ((spoken["en"] >= 0.08 * n) | (ending >= 0.15)) | (ending >= 0.3) & (most < 0.08 * n)
+    # Known ranks in order within each document, unknown ones last.
+    token_rank = np.where(ranks[code] == 0, np.iinfo(np.int64).max, ranks[code])
+    owner = np.repeat(np.arange(len(n)), n)
+    ordered = token_rank[np.lexsort((token_rank, owner))]
+    known_n = np.add.reduceat((ranks[code] > 0).astype(np.int64), starts)
+    place = np.maximum(1, np.ceil(np.round(n[:, None] * np.array(SHARES), 9)).astype(np.int64))
+    covered = np.log(ordered[starts[:, None] + place - 1].astype(float))
+    wanted = np.maximum(0, place - known_n[:, None])
+    rare = [[known[c] for c in code[s : s + k] if ranks[c] == 0] if w.any() and e else [] for s, k, w, e in zip(starts, n, wanted, english, strict=True)]
+    columns = [batch.column("doc_id"), pa.array(n.astype(np.int32)), *[pa.array(c) for c in covered.T], batch.column("sentence"), batch.column("spread")]
+    columns += [pa.array(x) for x in (letters, long, short)] + [pa.array(english), pa.array(rare, pa.list_(pa.string()))]
+    columns.append(pa.array(list(wanted.astype(np.int32)), pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", *FEATURES, "english", "tail", "wanted"])
 
 
 def calibrate(features: DataFrame, ratings: DataFrame) -> dict[int, tuple[float, list[float]]]:
@@ -155,15 +213,17 @@ def score(model: dict[int, tuple[float, list[float]]]) -> Column:
 def reading_levels(documents: DataFrame, ratings: DataFrame, min_tokens: int = 40) -> DataFrame:
     """``(doc_id, reading_level, n_words, <FEATURES>)`` of every English document with at least ``min_tokens`` words.
 
-    The language is judged by the text alone. Null and empty texts and null ids give no row. Rows with one id count as
-    one document, with the sentence figures of one of its rows. Word counts cover all documents. The rank table, one row
-    per distinct word, is checkpointed because both the calibration and the scoring use it.
+    The language is judged by the text alone. Null and empty texts and null ids give no row. Of rows with one id the one
+    with most words counts. Word counts cover all documents. The texts are taken apart once, into a table in the shared
+    folder; the rank table, one row per distinct word, and the figures, one row per document, are checkpointed.
     """
     documents = spread(documents.select("doc_id", "text"))
-    checkpoint_ready(documents.sparkSession)
-    ranks = word_ranks(with_words(documents)).checkpoint()
+    spark = documents.sparkSession
+    checkpoint_ready(spark)
+    folder = shared_folder(spark, "words")
+    with_words(documents).write.parquet(folder)
+    worded = spark.read.schema(WORDED).parquet(folder)
+    ranks = word_ranks(worded).checkpoint()
     ratings = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), "reading_level")
-    rated = documents.join(ratings.select("doc_id").distinct(), "doc_id", "left_semi")
-    of = lambda docs: features(with_words(docs).where(F.col("n_tokens") >= min_tokens), ranks)
-    model = calibrate(of(rated), ratings)
-    return of(documents).select("doc_id", score(model).cast("int").alias("reading_level"), "n_words", *FEATURES)
+    measured = features(worded.where(F.col("n_tokens") >= min_tokens), ranks).checkpoint()
+    return measured.select("doc_id", score(calibrate(measured, ratings)).cast("int").alias("reading_level"), "n_words", *FEATURES)
