@@ -2,19 +2,23 @@
 
 A classifier fitted on the documents whose source is known gives every other document a posterior over the sources.
 Nonnegative drawing rates per document are then fitted by projected-gradient least squares, so that the expected tokens of
-each source meet its target. The documents stay distributed: each step of the descent is one aggregation of as many sums
-as there are sources, and a document's rate is a fold over the steps so far.
+each source meet its target. Documents of a known source share a rate, so they are summed up first and are one row per
+source then. Rates are a column; each step of the descent is one aggregation of as many sums as there are sources, until
+the sums meet their targets.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from larkspur.session import checkpoint_ready, spread
 
+#: Where the vocabulary file is on the driver's machine; it is sent to the tasks from there.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern that belongs to that vocabulary; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -29,7 +34,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 FIT_ROWS = 20_000
 HASH_PLACES = 10**15
 HASHED_WORDS = 4_096
-STEPS, TOLERANCE = 24, 1e-6
+#: The part of the total that every miss must stay below. After so many steps without that the total is lowered to the next
+#: part of itself, since documents between two sources can rule the largest one out; and rounds of this at most.
+TOLERANCE, STEPS, LOWER, ROUNDS = 1e-4, 16, 0.95, 40
 #: Draws are thrown into so many equal slots per source, and cut where the wanted tokens are reached.
 SLOTS = 4_096
 
@@ -51,8 +58,11 @@ def _encoding(path: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc_id, source, text, tokens)`` with the tokens of the whole text under a public vocabulary."""
 
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    file = os.path.basename(tokenizer)
+
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(SparkFiles.get(file))
         for texts in batches:
             yield texts.map(lambda t: len(encoding.encode_ordinary(t))).astype("int64")
 
@@ -88,8 +98,9 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
     split = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+")
     hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=HASHED_WORDS, binary=True)
     featured = lambda df: hashed.transform(split.transform(df))
-    training = featured(some)
+    training = featured(some).select("label", "weight", "features").persist()
     model = LogisticRegression(maxIter=20, regParam=0.001, elasticNetParam=0.0, family="multinomial", weightCol="weight").fit(training)
+    training.unpersist()
     guessed = model.transform(featured(unknown))
     probability = vector_to_array("probability")
     # The model may have seen fewer classes than there are sources.
@@ -109,8 +120,13 @@ def _fit_parts(sizes: dict[int, int]) -> dict[int, float]:
 
 @dataclass
 class Mix:
+    """``residual``: the largest miss of a source's expected tokens under the fitted rates, as a part of all tokens wanted;
+    ``steps``: how many steps the descent took."""
+
     draws: DataFrame
     targets: list[dict]
+    residual: float = 0.0
+    steps: int = 0
 
     def shares(self) -> DataFrame:
         """One row per wanted source: tokens there are and tokens drawn (by label, and expected under the posteriors),
@@ -138,7 +154,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     between 0 and the repeats that its sources allow, on the average of its posterior (part of a copy, too) and at most
     those of its most probable wanted source; its copies are the whole part of the rate plus, for the
     share of documents that the rest asks for, one more, decided by a hash of the id. The total is the largest at which every source can still meet
-    its share under its cap. Wanted sources without any document get nothing and the others share their weight; sources
+    its share under its cap, in steps of ``LOWER`` where documents between sources rule the largest one out. Wanted sources without any document get nothing and the others share their weight; sources
     that are not wanted are never drawn. Sources written differently are one; of repeated target rows the largest weight
     counts; targets without source, or without a positive weight, don't count. Null ids, null and empty texts give no row.
     """
@@ -154,27 +170,40 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     likely = [F.when(F.col("p")[i] == F.array_max("p"), F.lit(float(c))) for i, c in enumerate(caps)]
     whole = F.coalesce(*likely, F.lit(0.0))
     docs = docs.withColumn("cap", F.least(most, whole))
-    each = lambda of: [F.sum(F.col("p")[i] * F.col("tokens") * of).alias(f"s{i}") for i in range(len(names))]
-    sums = lambda of: np.array([x or 0.0 for x in docs.agg(*each(of)).first()]) if names else np.empty(0)
-    mass, reach = sums(F.lit(1.0)), sums(F.col("cap"))
     weight = np.array([r["weight"] for r in rows], float)
+    # All documents of a known source have one membership and cap, so they are one row here.
+    shared = docs.where("source is not null").groupBy("p", "cap").agg(F.sum("tokens").alias("tokens"))
+    fitted = shared.unionByName(docs.where("source is null").select("p", "cap", "tokens")).withColumn("rate", F.least(F.lit(1.0), F.col("cap"))).withColumn("last", F.col("rate")).checkpoint()
+    each = lambda of, n: [F.sum(F.col("p")[i] * F.col("tokens") * of).alias(f"{n}{i}") for i in range(len(names))]
+    sums = lambda df, *of: np.array([x or 0.0 for x in df.agg(*[c for k, o in enumerate(of) for c in each(o, f"s{k}_")]).first()]).reshape(len(of), -1) if names else np.zeros((len(of), 0))
+    mass, reach = sums(fitted, F.lit(1.0), F.col("cap"))
     there = reach > 0
     aim = np.where(there, weight, 0.0) / max(weight[there].sum(), 1e-12) if len(rows) else weight
     total = float((reach[there] / aim[there]).min()) if there.any() else 0.0
-    want = aim * total
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
-        miss = np.where(mass > 0, (sums(_rate(steps)) - want) / np.maximum(mass, 1e-12), 0.0)
-        if not len(miss) or np.abs(miss * mass).max() <= TOLERANCE * max(total, 1.0):
+    steps: list[tuple[float, list[float]]] = []
+    residual, beta, speed = 0.0, 0.0, 1.0
+    while names:
+        fitted = fitted.withColumn("ahead", _ahead(F.col("rate"), F.col("last"), beta))
+        drawn = sums(fitted, F.col("ahead"))[0]
+        residual = float(np.abs(drawn - aim * total).max()) / max(total, 1.0)
+        if residual <= TOLERANCE or len(steps) == STEPS * ROUNDS:
             break
-        steps.append([float(x) for x in miss])
-    rate = _rate(steps) if names else F.lit(0.0)
+        if len(steps) % STEPS == STEPS - 1:
+            total, speed, fitted = total * LOWER, 1.0, fitted.checkpoint()
+        steps.append((beta, [float(x) for x in np.where(mass > 0, (drawn - aim * total) / np.maximum(mass, 1e-12), 0.0)]))
+        fitted = fitted.select("p", "cap", "tokens", _stepped("ahead", F.array(*map(F.lit, steps[-1][1]))).alias("rate"), F.col("rate").alias("last"))
+        # A step that follows a lowered total starts without a last move; others go on along it, further each time.
+        before, speed = speed, (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        beta = (before - 1) / speed
+    if residual > TOLERANCE:
+        warnings.warn(f"rates miss a source's target by {residual:.2g} of all tokens after {len(steps)} steps", stacklevel=2)
+    rate = _rate(steps, beta) if names else F.lit(0.0)
     slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLOTS)).cast("int")
     rated = docs.withColumn("rate", rate).withColumns({"slot": slot, "rest": F.col("rate") - F.floor("rate")})
     cut = _cuts(rated.where(F.col("source").isin(names)))
     copies = F.floor("rate") + (F.col("slot") < F.coalesce(cut, F.col("rest") * SLOTS)).cast("long")
     draws = rated.select("doc_id", "source", "tokens", "p", F.round("rate", 9).alias("rate"), copies.cast("int").alias("copies"))
-    return Mix(draws, [{"source": r["source"], "weight": r["weight"], "aim": a} for r, a in zip(rows, aim, strict=True)])
+    return Mix(draws, [{"source": r["source"], "weight": r["weight"], "aim": a} for r, a in zip(rows, aim, strict=True)], residual, len(steps))
 
 
 def _cuts(rated: DataFrame) -> Column:
@@ -192,12 +221,25 @@ def _cuts(rated: DataFrame) -> Column:
     return F.coalesce(*[F.when(F.col("source") == s, F.lit(float(c))) for s, c in best.items()], F.lit(None).cast("double"))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """A document's rate after the steps so far: it starts at its cap or 1, moves against each step's gradient, and is
-    projected back between 0 and its cap."""
+def _ahead(rate: Column, last: Column, beta: Column | float) -> Column:
+    """Where a rate is looked at next: a part of its last move further on, between 0 and the cap."""
+    return F.greatest(F.lit(0.0), F.least(F.col("cap"), rate + (rate - last) * beta))
+
+
+def _stepped(at: Column | str, gradient: Column) -> Column:
+    """A rate moved from ``at`` against a gradient per source and projected back between 0 and the cap."""
+    dot = F.aggregate(F.zip_with("p", gradient, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(F.lit(0.0), F.least(F.col("cap"), (F.col(at) if isinstance(at, str) else at) - dot))
+
+
+def _rate(steps: list[tuple[float, list[float]]], beta: float) -> Column:
+    """A document's rate after all steps: it starts at its cap or 1, takes the steps one after the other, and looks ahead
+    once more, to where the misses were found small enough."""
     start = F.least(F.lit(1.0), F.col("cap"))
     if not steps:
         return start
-    gradients = F.array(*[F.array(*map(F.lit, g)) for g in steps])
-    dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(gradients, start, lambda r, g: F.greatest(F.lit(0.0), F.least(F.col("cap"), r - dot(g))))
+    taken = F.array(*[F.struct(F.lit(b).alias("beta"), F.array(*map(F.lit, g)).alias("g")) for b, g in steps])
+    both = F.struct(start.alias("rate"), start.alias("last"))
+    step = lambda x, s: F.struct(_stepped(_ahead(x["rate"], x["last"], s["beta"]), s["g"]).alias("rate"), x["rate"].alias("last"))
+    end = F.aggregate(taken, both, step)
+    return _ahead(end["rate"], end["last"], beta)
