@@ -102,7 +102,28 @@ def _grams(key: str, name: str) -> str:
 
 _LEAKS = f"WITH d AS ({_grams('doc_id', 'documents')}), t AS ({_grams('item_id', 'eval_items')}), l AS (SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM d JOIN t USING (gram))"
 
+_LISTED = "SELECT {key} AS id, regexp_extract_all(lower(" + _BARE.replace("{", "{{").replace("}", "}}") + "), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL"
+_MASKED = " UNION ALL ".join(
+    f"SELECT id, i, {m} AS mask, array_to_string([{', '.join(f'w[i + {k}]' for k, c in enumerate(seed) if c == '1')}], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM {{name}})"
+    for m, seed in enumerate(leakage.SEEDS)
+)
+_OVERLAPS = f"""WITH d AS ({_LISTED.format(key='doc_id', table='documents')}), t AS ({_LISTED.format(key='item_id', table='eval_items')}),
+dm AS ({_MASKED.format(name='d')}), tm AS ({_MASKED.format(name='t')}),
+p AS (SELECT DISTINCT dm.id AS doc_id, tm.id AS item_id, dm.i - tm.i AS s FROM dm JOIN tm USING (mask, gram)),
+o AS (SELECT doc_id, item_id, s, unnest(range(greatest(1, 1 - s), least(len(t.w), len(d.w) - s) + 1)) AS k, d.w AS dw, t.w AS tw FROM p JOIN d ON d.id = doc_id JOIN t ON t.id = item_id),
+e AS (SELECT doc_id, item_id, s, k, dw[k + s] = tw[k] AS same FROM o),
+c AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER w AS total, sum((NOT same)::INT) OVER w AS island FROM e WINDOW w AS (PARTITION BY doc_id, item_id, s ORDER BY k)),
+g AS (SELECT *, total - CASE WHEN same THEN 1 ELSE -2 END AS prior FROM c),
+m AS (SELECT *, min(prior) OVER (PARTITION BY doc_id, item_id, s ORDER BY k) AS lowest FROM g),
+b AS (SELECT doc_id, item_id, s, arg_min(k, (-(total - lowest), k)) AS stop, arg_min(lowest, (-(total - lowest), k)) AS low FROM m GROUP BY ALL),
+st AS (SELECT m.doc_id, m.item_id, m.s, stop, max(k) AS start FROM m JOIN b USING (doc_id, item_id, s) WHERE k <= stop AND prior = low GROUP BY ALL),
+x AS (SELECT doc_id, item_id, s, count(*) FILTER (same) AS matched, count(*) AS span FROM m JOIN st USING (doc_id, item_id, s) WHERE k BETWEEN start AND stop GROUP BY ALL),
+r AS (SELECT doc_id, item_id, max(n) AS run FROM (SELECT doc_id, item_id, s, island, count(*) AS n FROM g WHERE same GROUP BY ALL) GROUP BY ALL),
+y AS (SELECT doc_id, item_id, max(struct_pack(matched, span)) AS b FROM x GROUP BY ALL)
+SELECT doc_id, item_id, run::INT AS run, b.matched::INT AS matched, b.span::INT AS span FROM y JOIN r USING (doc_id, item_id) WHERE b.matched >= 8"""
+
 SQL: dict[str, str] = {
+    "p6_overlaps": _OVERLAPS,
     "p6_found": f"{_LEAKS} SELECT * FROM l",
     "p6_items": f"{_LEAKS} SELECT item_id, count(*) AS documents FROM l GROUP BY 1",
     "p5_found": """
