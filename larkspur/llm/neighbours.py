@@ -2,26 +2,32 @@
 
 Unit vectors under the Euclidean distance form a metric space in which the cosine orders like the distance. A small
 vantage-point tree over a bounded sample routes every vector to one shard; a vector also visits the shards that the
-triangle inequality cannot rule out. Each shard has a vantage-point tree over all of its vectors. A branch is pruned if
+triangle inequality cannot rule out. Where shards would grow large, each is parted again by a tree over a sample of its
+own, so that their size doesn't follow the number of vectors. Each shard has a vantage-point tree over all of its vectors. A branch is pruned if
 it lies further off than ``radius / factor``: factor 1 never loses a neighbour, larger factors prune more. Because a
 pair may be found from either of its ends, both ends get it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from larkspur.session import checkpoint_ready
 
-#: The routing tree is fitted on at most this many vectors. Every vector is indexed.
-SAMPLE_ROWS = 20_000
+#: A routing tree is fitted on at most this many vectors: one tree for all, and one for each large shard. Every vector is
+#: indexed. A tree has one leaf for every so many of its sample.
+SAMPLE_ROWS, SAMPLE_PER_LEAF = 4_096, 4
 #: Vectors per shard aimed at, visitors per task, and vectors in a leaf of a shard's tree.
 SHARD_ROWS, VISITOR_ROWS, LEAF_ROWS = 4_096, 65_536, 256
+#: A shard with more vectors than this many shards should have is parted again; what is larger still, searched in blocks.
+LARGE = 4
 #: Candidate pairs held before they are cut to the best k of each query, and queries searched at a time.
 HELD_PAIRS, QUERY_ROWS = 1_000_000, 4_096
 #: Measured recall of pairs at 52,171 vectors: 0.9998 with 6, 0.998 with 8, 0.994 with 10; exact with 1.
@@ -148,55 +154,105 @@ def search_shard(ids: np.ndarray, v: np.ndarray, home: np.ndarray, asks: np.ndar
     return ids[q[keep]], ids[p[keep]], c[keep]
 
 
+@dataclass
+class Routes:
+    """A routing tree with, per leaf, in how many blocks its vectors and in how many parts its visitors are searched."""
+
+    tree: Node | int
+    leaves: int
+    blocks: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def fitted(cls, u: np.ndarray, n: float, radius: float) -> Routes:
+        """From a sample of unit vectors that stands for ``n``; sizes and visits are those of the sample, scaled."""
+        leaves = max(1, min(int(-(-n // SHARD_ROWS)), len(u) // SAMPLE_PER_LEAF))
+        tree = build(u, leaves, np.random.default_rng(0))
+        lives, visits, rows = np.zeros(len(u), int), np.zeros(leaves), np.arange(len(u))
+        descend_home(tree, u, rows, lives)
+        descend(tree, u, rows, np.full(len(u), radius, np.float32), lambda leaf, found: np.add.at(visits, leaf, len(found)))
+        scale = n / max(len(u), 1)
+        blocks = np.bincount(lives, minlength=leaves) * scale / (LARGE * SHARD_ROWS)
+        return cls(tree, leaves, np.maximum(1, np.ceil(blocks)).astype(np.int64), np.maximum(1, np.ceil(visits * scale / VISITOR_ROWS)).astype(np.int64))
+
+    def assign(self, ids: np.ndarray, x: np.ndarray, home: np.ndarray, radius: float) -> tuple[np.ndarray, ...]:
+        """``(row, leaf, block, part, home, asks)``: rows at home live in one block of one leaf, which every part of it
+        gets; each row asks at its home once, and in all other blocks within its radius as a visitor."""
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def add(rows: np.ndarray, leaf: int, block: np.ndarray | int, part: np.ndarray | int, lives: bool, asks: bool) -> None:
+            full = lambda v: np.broadcast_to(np.asarray(v), (len(rows),))
+            found.append((rows, full(leaf), full(block), full(part), full(lives), full(asks)))
+
+        lives = np.full(len(ids), -1)
+        descend_home(self.tree, x, np.flatnonzero(home), lives)
+        for leaf in np.unique(lives[lives >= 0]):
+            rows, blocks, parts = np.flatnonzero(lives == leaf), int(self.blocks[leaf]), int(self.parts[leaf])
+            own, visits = ids[rows] // parts % blocks, ids[rows] % parts
+            for c in range(parts):
+                add(rows, leaf, own, c, True, c == 0)
+            for b in range(blocks) if blocks > 1 else ():
+                add(rows[own != b], leaf, b, visits[own != b], False, True)
+
+        def visit(leaf: int, rows: np.ndarray) -> None:
+            rows = rows[lives[rows] != leaf]
+            for b in range(int(self.blocks[leaf])):
+                add(rows, leaf, b, ids[rows] % self.parts[leaf], False, True)
+
+        descend(self.tree, x, np.arange(len(ids)), np.full(len(ids), radius, np.float32), visit)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int),) * 6
+
+
+ROUTED = "leaf long, block int, part int, id long, home boolean, asks boolean, v array<float>"
+
+
+def _routed(routes: Routes, ids: np.ndarray, v: np.ndarray, home: np.ndarray, radius: float, first: int = 0) -> pa.Table:
+    rows, leaf, block, part, lives, asks = routes.assign(ids, _unit(v), home, radius)
+    flat = pa.array(v[rows].reshape(-1), pa.float32())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * v.shape[1]), flat)
+    columns = [pa.array(leaf + first, pa.int64()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(lives, pa.bool_()), pa.array(asks, pa.bool_()), lists]
+    return pa.table(columns, ["leaf", "block", "part", "id", "home", "asks", "v"])
+
+
+def _sampled(vectors: DataFrame, share: float, salt: str) -> DataFrame:
+    """About so large a share of the rows, by a hash of the id."""
+    if share >= 1:
+        return vectors
+    return vectors.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(salt)), 1) < F.lit(int(share * 2.0**63)))
+
+
 def nearest(vectors: DataFrame, k: int, floor: float, factor: float = FACTOR) -> DataFrame:
     """``(id, other, cosine)``: for each row of ``vectors (id, v)`` its at most k most similar rows, cosine >= floor.
 
     Equal cosines (to 9 decimals) go to the smaller id; a row is never its own neighbour. Vectors must be of one length
-    and not all zero, ids unique. The number of rows and a sample of at most ``SAMPLE_ROWS`` vectors, chosen by a hash of
-    the id, are fetched to fit the routing tree.
+    and not all zero, ids unique. The number of rows and a sample of about ``SAMPLE_ROWS`` vectors, chosen by a hash of
+    the id, are fetched to fit the first routing tree; the trees of large shards are fitted in tasks, each on a sample of
+    about as many of its vectors.
     """
     spark = vectors.sparkSession
     n = vectors.count()
-    share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    chosen = vectors.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) if share < 1 else vectors
-    sample = chosen.select("v").limit(SAMPLE_ROWS).toArrow()
-    if not sample.num_rows:
+    sample = _sampled(vectors, SAMPLE_ROWS / max(n, 1), "sample").select("v").limit(2 * SAMPLE_ROWS).toArrow() if n else None
+    if not sample or not sample.num_rows:
         return spark.createDataFrame([], "id long, other long, cosine double")
-    u = _unit(_matrix(sample["v"]))
-    shards = max(1, min(-(-n // SHARD_ROWS), len(u) // 4))
-    tree = build(u, shards, np.random.default_rng(0))
     radius = float(np.sqrt(2.0 - 2.0 * floor)) / factor
-    visits = np.zeros(shards)
-    descend(tree, u, np.arange(len(u)), np.full(len(u), radius, np.float32), lambda leaf, rows: np.add.at(visits, leaf, len(rows)))
-    # Shards that very many rows visit are searched by several tasks, each with its part of the visitors.
-    parts = np.maximum(1, np.ceil(visits / len(u) * n / VISITOR_ROWS)).astype(np.int64)
+    top = Routes.fitted(_unit(_matrix(sample["v"])), n, radius)
+    again = n / top.leaves > LARGE * SHARD_ROWS
+    salts = top.parts.tolist()
+    if again:
+        # Large shards are parted again, so here they are only told apart: every row goes to a shard once.
+        top.blocks[:], top.parts[:] = 1, 1
+    sent = spark.sparkContext.broadcast(top)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, v = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            x = _unit(v)
-            found: list[tuple[np.ndarray, ...]] = []
-
-            def add(leaf: int, rows: np.ndarray, home: bool) -> None:
-                copies = range(parts[leaf]) if home else (None,)
-                for c in copies:
-                    part = np.full(len(rows), c) if home else ids[rows] % parts[leaf]
-                    found.append((rows, np.full(len(rows), leaf), part, np.full(len(rows), home), np.full(len(rows), not home or c == 0)))
-
-            lives = np.full(len(ids), -1)
-            descend_home(tree, x, np.arange(len(ids)), lives)
-            for leaf in np.unique(lives):
-                add(int(leaf), np.flatnonzero(lives == leaf), True)
-            descend(tree, x, np.arange(len(ids)), np.full(len(ids), radius, np.float32), lambda leaf, rows: add(leaf, rows[lives[rows] != leaf], False))
-            rows, leaf, part, home, asks = (np.concatenate(c) for c in zip(*found, strict=True))
-            flat = pa.array(v[rows].reshape(-1), pa.float32())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * v.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(home), pa.array(asks), lists],
-                ["leaf", "part", "id", "home", "asks", "v"],
-            )
+            if batch.num_rows:
+                yield from _routed(sent.value, batch.column("id").to_numpy(), _matrix(batch.column("v")), np.ones(batch.num_rows, bool), radius).to_batches()
+
+    routed = vectors.select("id", "v").mapInArrow(route, ROUTED)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int((top.blocks * top.parts).sum()), 10_000))
+    if again:
+        routed = _parted_again(routed, vectors, sent, salts, n, radius)
+        tasks = max(tasks, min(-(-n // SHARD_ROWS), 100_000))
 
     def search(group: pa.Table) -> pa.Table:
         a, b, c = search_shard(
@@ -204,13 +260,55 @@ def nearest(vectors: DataFrame, k: int, floor: float, factor: float = FACTOR) ->
         )
         return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
-    routed = vectors.select("id", "v").mapInArrow(route, "leaf int, part int, id long, home boolean, asks boolean, v array<float>")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(parts.sum()), 10_000))
-    pairs = routed.repartition(tasks, "leaf", "part").groupBy("leaf", "part").applyInArrow(search, "id long, other long, cosine double").distinct()
+    by = ("leaf", "block", "part")
+    pairs = routed.repartition(tasks, *by).groupBy(*by).applyInArrow(search, "id long, other long, cosine double").distinct()
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("cosine", 9).desc(), "other"))
     return pairs.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
+def _parted_again(routed: DataFrame, vectors: DataFrame, top: Broadcast, salts: list[int], n: int, radius: float) -> DataFrame:
+    """``ROUTED`` rows by the leaves of a second tree in each leaf of the first.
+
+    A second tree is fitted in one task on the sample of its leaf. Rows meet it by leaf and part, parts of about
+    ``VISITOR_ROWS`` rows.
+    """
+    spark, leaves = vectors.sparkSession, top.value.leaves
+    share = min(1.0, SAMPLE_ROWS * leaves / n)
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lives = np.zeros(batch.num_rows, int)
+                descend_home(top.value.tree, _unit(_matrix(batch.column("v"))), np.arange(batch.num_rows), lives)
+                yield pa.RecordBatch.from_arrays([pa.array(lives, pa.int64()), batch.column("v")], ["leaf", "v"])
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        # A leaf that holds very many vectors has a larger sample; the tree takes an even part of it.
+        rows = group["v"].take(pa.array(np.linspace(0, group.num_rows - 1, min(group.num_rows, 4 * SAMPLE_ROWS)).astype(int)))
+        routes = Routes.fitted(_unit(_matrix(rows)), group.num_rows / share, radius)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "routes": pa.array([pickle.dumps(routes)], pa.binary())})
+
+    sample = _sampled(vectors, share, "second").select("id", "v").mapInArrow(live, "leaf long, v array<float>")
+    trees = sample.groupBy("leaf").applyInArrow(fit, "leaf long, routes binary").checkpoint()
+    most = lambda leaf: F.get(F.array(*map(F.lit, salts)), F.col(leaf).cast("int"))
+    left = routed.withColumn("part", F.pmod(F.xxhash64("id", F.lit("salt")), most("leaf")).cast("int")).select("leaf", "part", "id", "home", "v")
+    right = trees.withColumn("s_part", F.explode(F.sequence(F.lit(0), most("leaf") - 1))).select(F.col("leaf").alias("s_leaf"), "s_part", "routes")
+
+    def part(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return EMPTY.empty_table()
+        # A leaf without a sample has few vectors; it stays one.
+        routes = pickle.loads(tree["routes"][0].as_py()) if tree.num_rows else Routes(0, 1, np.ones(1, int), np.ones(1, int))
+        return _routed(routes, rows["id"].to_numpy(), _matrix(rows["v"]), rows["home"].to_numpy(), radius, rows["leaf"][0].as_py() << 32)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(sum(salts), 10_000))
+    left, right = left.repartition(tasks, "leaf", "part"), right.repartition(tasks, "s_leaf", "s_part")
+    return left.groupBy("leaf", "part").cogroup(right.groupBy("s_leaf", "s_part")).applyInArrow(part, ROUTED)
+
+
+EMPTY = pa.schema([("leaf", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("home", pa.bool_()), ("asks", pa.bool_()), ("v", pa.list_(pa.float32()))])
+
+
 def descend_home(node: Node | int, u: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
     """The one leaf in which each row lives."""
     if not len(rows):
@@ -234,15 +332,19 @@ def usable(vectors: DataFrame, length: int) -> DataFrame:
 def similar_pairs(vectors: DataFrame, k: int, floor: float, length: int, factor: float = FACTOR) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: one is among the k most similar of the other, cosine >= floor.
 
-    Unusable vectors (see ``usable``) don't count; rows repeated under one id count once. Exact copies are searched once:
-    of a group of copies only the k + 1 smallest ids can be anyone's neighbours, and they stand for the group, so that
-    a group of any size stays linear. Copies beyond them get the list of their group.
+    Unusable vectors (see ``usable``) don't count; rows repeated under one id count once. Vectors of one direction (copies,
+    and copies at another length) have one cosine with any other, so they are searched once: of such a group only the
+    k + 1 smallest ids can be anyone's neighbours, and they stand for the group, so that a group of any size stays linear.
+    Rows beyond them get the list of their group.
     """
     rows = usable(vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v")), length).dropDuplicates(["id"])
-    key: list[Column] = [F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")]
+    # Exactly the same numbers for vectors that are exact multiples of each other.
+    size = F.array_max(F.transform("v", lambda x: F.abs(x))).cast("double")
+    rows = rows.withColumn("__s", size).withColumn("__u", F.transform("v", lambda x: x.cast("double") / F.col("__s") + 0.0))
+    key: list[Column] = [F.xxhash64("__u").alias("h1"), F.hash("__u").alias("h2")]
     keyed = rows.select("id", "v", *key)
     place = F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))
-    # Both are used several times below: the vectors kept of each group of copies, and the pairs found.
+    # Both are used several times below: the vectors kept of each group, and the pairs found.
     checkpoint_ready(vectors.sparkSession)
     members = keyed.withColumn("place", place).where(F.col("place") <= k + 1).checkpoint()
     apart = members.where("place = 1").select("id", "v")
@@ -255,10 +357,10 @@ def similar_pairs(vectors: DataFrame, k: int, floor: float, length: int, factor:
     lists = around.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "member"))).alias("near"))
     per = own.join(lists, "rep").select("id", F.explode(F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k)).alias("x"))
     pairs = per.select("id", F.col("x.member").alias("other"))
-    # Rows of a group with more copies than that see the group's list too; there is one list per such group.
-    crowded = members.where(F.col("place") == k + 1).select("h1", "h2").join(first, ["h1", "h2"]).join(lists, "rep")
-    heads = crowded.select("h1", "h2", F.slice("near", 1, k + 1).alias("near"))
-    more = keyed.select("id", "h1", "h2").join(heads, ["h1", "h2"]).select("id", F.explode(F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k)).alias("x"))
-    more = more.select("id", F.col("x.member").alias("other"))
-    both = pairs.unionByName(more)
-    return both.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+    # Rows of a group with more than that see the group's list too; there is one list per such group.
+    full = members.where(F.col("place") == k + 1).select("h1", "h2")
+    if full.limit(1).count():
+        heads = full.join(first, ["h1", "h2"]).join(lists, "rep").select("h1", "h2", F.slice("near", 1, k + 1).alias("near"))
+        more = keyed.select("id", "h1", "h2").join(heads, ["h1", "h2"]).select("id", F.explode(F.slice(F.filter("near", lambda x: x["member"] != F.col("id")), 1, k)).alias("x"))
+        pairs = pairs.unionByName(more.select("id", F.col("x.member").alias("other")))
+    return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
