@@ -30,9 +30,7 @@ ENGLISH_ENDING = "(?:tion|ing|ed|ity|ology|ible|able|ly|ment|ness|ous|ive)s?$"
 _WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
 #: The same where all letters are plain.
 _PLAIN_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
-_PIECE = regex.compile(r"[^\s\p{L}\p{N}]*[\p{L}\p{N}]\S*")
-_PLAIN_PIECE = re.compile(r"[^\sA-Za-z0-9]*[A-Za-z0-9]\S*")
-_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n+")
+_STOPS = re.compile(r"[.!?\n]+")
 _TAG, _ENTITY = regex.compile(r"<[/!?]?\p{L}[^<>]*>"), re.compile(r"&(?:[a-zA-Z]+|#\d+);")
 #: Common function words by language; fixed values. Words that English uses as much (a, as, do, no, in, is, per, met) only
 #: count for English, or not at all.
@@ -59,17 +57,21 @@ def _taken_apart(text: str) -> tuple[list[str], int, float, float]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = _ENTITY.sub(" ", text)
-    word, piece = (_PLAIN_WORD, _PLAIN_PIECE) if text.isascii() else (_WORD, _PIECE)
-    words, lengths = [], []
-    for s in _SENTENCE_END.split(text):
-        own = word.findall(s)
+    word = _PLAIN_WORD if text.isascii() else _WORD
+    words, lengths, start = [], [], 0
+    # A sentence ends at a line's end, or at stops before white space.
+    ends = [m.end() for m in _STOPS.finditer(text) if text[m.end() : m.end() + 1].isspace() or m.end() == len(text) or "\n" in m.group()]
+    for end in [*ends, len(text)]:
+        own = word.findall(text, start, end)
+        start = end
         words += own
         if len(own) >= 2:
             lengths.append(len(own))
     lengths = lengths or [max(1, len(words))]
     mean = sum(lengths) / len(lengths)
     spread = (max(0.0, sum(x * x for x in lengths) / len(lengths) - mean * mean)) ** 0.5 / 10
-    return [w.lower() for w in words], len(piece.findall(text)), float(np.log(mean)), spread
+    pieces = sum(p[0].isalnum() or any(map(str.isalnum, p)) for p in text.split())
+    return [w.lower() for w in words], pieces, float(np.log(mean)), spread
 
 
 def with_words(documents: DataFrame) -> DataFrame:
@@ -127,8 +129,7 @@ def features(worded: DataFrame, ranks: DataFrame) -> DataFrame:
     measured = worded.mapInArrow(run, MEASURED).where("english").drop("english")
     best = F.max_by(F.struct(*[c for c in measured.columns if c != "doc_id"]), F.struct("n_words", *FEATURES))
     covers = FEATURES[: len(SHARES)]
-    rare = measured.where(F.size("tail") > 0)
-    if rare.limit(1).count():
+    if ranks.where(F.col("rank") > HEAD_WORDS).limit(1).count():
         one = measured.groupBy("doc_id").agg(best.alias("m")).select("doc_id", "m.*")
         ranked = one.where(F.size("tail") > 0).select("doc_id", F.explode("tail").alias("word")).join(ranks.where(F.col("rank") > HEAD_WORDS), "word")
         lists = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list("rank")).alias("r"))
