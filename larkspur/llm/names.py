@@ -34,7 +34,7 @@ HOUSES = {
 }
 LEGAL = {
     "inc": "inc incorporated", "corp": "corp corporation", "ltd": "ltd limited", "llc": "llc", "plc": "plc", "gmbh": "gmbh", "ag": "ag",
-    "co": "co company", "lp": "lp", "sa": "sa", "bv": "bv", "nv": "nv", "ab": "ab", "spa": "spa",
+    "co": "co company", "lp": "lp", "sa": "sa", "bv": "bv", "nv": "nv", "ab": "ab", "spa": "spa", "aps": "aps a_s",
 }
 EMPTY = frozenset("the of for at and r d rd usa research res group holdings".split())
 TITLES = frozenset("dr prof mr mrs ms md phd do mph msc bsc rn dsc pharmd jr sr ii iii".split())
@@ -61,15 +61,9 @@ _DOTTED = [(re.compile(rf"\b{r'\.?\s?'.join(k)}\b\.?"), f" {k} ") for k in ("gmb
 _BIO = re.compile(r"\bbio[\s\-]+(?=scien|tech|logic)")
 #: Filers carry their state behind the name: ``... INC /DE/``.
 _STATE = re.compile(r"\s*/[a-z]{2,3}/?\s*$")
-_WORD = re.compile(r"[a-z0-9]+")
-#: How the registry itself writes names: the spelling most likely to be free of typing errors.
-_KINDS_TITLE = "|".join(k.title() for k in KINDS)
-REGISTRY_STYLE = re.compile(
-    rf"[A-Z][a-z]+ (?:(?:{_KINDS_TITLE})(?:, Inc\.| Corp| LLC| plc| GmbH| Ltd| AG)|Institute|(?:Medical|Regional|Children's) Hospital)"
-    r"|University of [A-Z][a-z]+|[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+"
-)
-
-
+#: Two letters with a stroke between them are one word, as in ``A/S``.
+_SLASHED = re.compile(r"(?<![a-z0-9])([a-z])/([a-z])(?![a-z0-9])")
+_WORD = re.compile(r"[a-z0-9_]+")
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours from a to b, or ``most + 1`` if more."""
     if abs(len(a) - len(b)) > most:
@@ -113,11 +107,30 @@ def kind_of(word: str) -> str | None:
     return None
 
 
+#: A word, an initial, or a legal form in a name that is written with care; kinds must be written out (see below).
+_CAREFUL = re.compile(r"[A-Z][a-z]+(?:'s)?|[A-Z]\.|of")
+#: Legal forms as they are written with care.
+CAREFUL_LEGAL = frozenset("Inc Inc. Incorporated Corp Corp. Corporation Ltd Ltd. Limited LLC plc PLC GmbH AG Co. Company LP SA S.A. BV B.V. NV N.V. AB SpA A/S".split())
+
+
+def well_written(name: str) -> bool:
+    """Capitals at the head of words only, single spaces, kinds written out, a comma before a legal form at most: how people
+    write who don't make haste. Typing errors in a name's own words don't show in this."""
+    words = name.split(" ")
+    last = words[-1] in CAREFUL_LEGAL and len(words) > 1
+    own = words[:-1] if last else words
+    if last:
+        own = [*own[:-1], own[-1].removesuffix(",")]
+    if own[0] in ("The", "of") or not all(map(_CAREFUL.fullmatch, own)):
+        return False
+    return all(w in KINDS or w in HOUSES for w in (w.lower().replace("'", "") for w in own) if kind_of(w))
+
+
 def folded(name: str) -> str:
     """Lower case without marks over letters, with dotted legal forms written plainly."""
     t = "".join(ch for ch in unicodedata.normalize("NFKD", name) if not unicodedata.combining(ch)).lower()
     t = t.replace("'s", "s").replace("’s", "s").replace("'", "").replace("’", "").replace("&", "")
-    t = _STATE.sub("", t)
+    t = _SLASHED.sub(r" \1_\2 ", _STATE.sub("", t))
     for pattern, plain in _DOTTED:
         t = pattern.sub(plain, t)
     return _BIO.sub("bio", t)
@@ -127,7 +140,8 @@ def parse(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
     """``(class, core, legal, given, middle, clean)`` of one name, or None if it has no word of its own.
 
     class: ``person``, or the kinds and houses named, or empty. core: a person's surname, or an organisation's own words
-    in sorted order. given: full given name or an initial.
+    in sorted order. given: full given name or an initial. clean: well written and complete (a business with its kind and
+    legal form, a house, a person with given name and middle initial).
     """
     if name is None:
         return None
@@ -148,14 +162,15 @@ def parse(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
     if "med" in kinds:
         kinds = (kinds - {"med"}) | {"medical" if "hospital" in kinds else "medicines"}
     plain = [w for w in own if w not in TITLES]
-    clean = bool(REGISTRY_STYLE.fullmatch(name))
+    careful = well_written(name)
     titled = len(plain) < len(own)
     if not kinds and not legal and 2 <= len(plain) <= 4 and (titled or any(w in _GIVEN or len(w) == 1 for w in plain)):
         person = _person(plain, "," in re.sub(r",\s*(?:md|phd|m\.d\.|ph\.d\.|jr|sr)\b.*", "", t))
         if person:
-            return ("person", person[0], "", person[1], person[2], clean)
+            return ("person", person[0], "", person[1], person[2], careful and len(person[1]) > 1 and person[2] != "")
     if not own:
         return None
+    clean = careful and bool(kinds) and (legal != "" or not kinds.isdisjoint(HOUSES))
     return ("+".join(sorted(kinds)), " ".join(sorted(own)), legal, "", "", clean)
 
 
@@ -179,14 +194,14 @@ def _person(words: list[str], comma: bool) -> tuple[str, str, str] | None:
 
 
 PARSED = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("class", "core", "legal", "given", "middle")] + [T.StructField("clean", T.BooleanType())]
+    [T.StructField(n, T.StringType()) for n in ("class", "core", "legal", "given", "middle")] + [T.StructField(n, T.BooleanType()) for n in ("clean", "careful")]
 )
 
 
 @F.pandas_udf(PARSED)
 def parsed(name: pd.Series) -> pd.DataFrame:
     """``parse`` of each name; a name without a word of its own gives nulls."""
-    return pd.DataFrame([parse(x) or (None,) * 6 for x in name], columns=PARSED.fieldNames())
+    return pd.DataFrame([(*p, well_written(x)) if (p := parse(x)) else (None,) * 7 for x in name], columns=PARSED.fieldNames())
 
 
 #: Kept where it stands: a filter on its result must not be moved below the step that makes the names distinct.

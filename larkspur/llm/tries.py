@@ -2,11 +2,13 @@
 
 The indexed strings are sharded by a class and their length; in each shard they form a trie, and all queries that could
 match walk it together: one automaton state (the edit-distance row) per query, advanced letter by letter, and dropped as
-soon as no ending can be within its bound. Words in another order are matched by asking for each order of a query's words.
+soon as no ending can be within its bound. Words in another order are matched by asking for each order of a query's words;
+of longer names, where these are many, by the words that both have, and the few others one by one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Strings per trie and queries per task aimed at; larger shards are split, each query then visits every part.
 TRIE_ROWS, QUERY_ROWS = 20_000, 40_000
 MOST_EDITS = 2
+#: Names with more spaces than one less than this (five words or more) are matched by common words, not by all orders.
+MANY_WORDS = 4
 
 
 def bound(length: Column) -> Column:
@@ -72,16 +76,55 @@ def walk(index: list[str], queries: list[str], bounds: np.ndarray) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*hits, strict=True))  # type: ignore[return-value]
 
 
+def _edits(a: str, b: str) -> int:
+    """Edits from a to b, as ``walk`` counts them, up to ``MOST_EDITS``; one more if there are more."""
+    _, _, d = walk([b], [a], np.array([MOST_EDITS]))
+    return int(d[0]) if len(d) else MOST_EDITS + 1
+
+
+def any_order(index: list[str], queries: list[str], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query number, index number, edits)`` of names with as many words, whatever their order.
+
+    Names within e edits have all but e words in common, so the index is asked by words; the words that are left over on
+    either side are tried in each assignment, at most e of them.
+    """
+    holders: dict[str, list[int]] = {}
+    split = [x.split(" ") for x in index]
+    for i, words in enumerate(split):
+        for w in set(words):
+            holders.setdefault(w, []).append(i)
+    hits = []
+    for n, query in enumerate(queries):
+        asked, most = Counter(query.split(" ")), int(bounds[n])
+        size = sum(asked.values())
+        # A key that has all but e words has one of any e + 1; the rarest ones are looked up.
+        rarest = sorted(asked.elements(), key=lambda w: len(holders.get(w, ())))[: most + 1]
+        for i in sorted({i for w in rarest for i in holders.get(w, ())}):
+            own = Counter(split[i])
+            left, right = list((asked - own).elements()), list((own - asked).elements())
+            if sum(own.values()) == size and len(left) <= most:
+                d = min(sum(map(_edits, left, p)) for p in permutations(right))
+                if d <= most:
+                    hits.append((n, i, d))
+    return tuple(np.array(c, int) for c in zip(*hits, strict=True)) if hits else (np.empty(0, int),) * 3  # type: ignore[return-value]
+
+
 def _match(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     asked, owner = [], []
+    many = queries["query"].str.count(" ").to_numpy() >= MANY_WORDS
     for i, q in enumerate(queries["query"]):
         words = q.split(" ")
-        orders = {" ".join(p) for p in permutations(words)} if 1 < len(words) <= 4 else {q}
+        orders = {q} if many[i] else {" ".join(p) for p in permutations(words)}
         asked += orders
         owner += [i] * len(orders)
-    owner_of = np.array(owner, int)
-    a, b, d = walk(list(index["key"]), asked, queries["bound"].to_numpy()[owner_of] if len(owner) else np.empty(0, int))
-    found = pd.DataFrame({"query": queries["query"].to_numpy()[owner_of[a]], "key": index["key"].to_numpy()[b], "edits": d.astype("int32")})
+    owner_of, bounds = np.array(owner, int), queries["bound"].to_numpy()
+    a, b, d = walk(list(index["key"]), asked, bounds[owner_of] if len(owner) else np.empty(0, int))
+    a = owner_of[a]
+    if many.any():
+        long_keys, long_queries = np.flatnonzero(index["key"].str.count(" ").to_numpy() >= MANY_WORDS), np.flatnonzero(many)
+        a2, b2, d2 = any_order(list(index["key"].iloc[long_keys]), list(queries["query"].iloc[long_queries]), bounds[long_queries])
+        a, b, d = np.r_[a, long_queries[a2]], np.r_[b, long_keys[b2]], np.r_[d, d2]
+    found = pd.DataFrame({"query": queries["query"].to_numpy()[a], "key": index["key"].to_numpy()[b], "edits": d.astype("int32")})
     found.insert(0, "shard", index["i_shard"].iloc[0] if len(index) else None)
     return found.groupby(["shard", "query", "key"], as_index=False)["edits"].min() if len(found) else found
 

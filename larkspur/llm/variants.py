@@ -7,23 +7,24 @@ that end at the same root are the same sponsor.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from larkspur.llm.names import KINDS, given_agree, parsed
+from larkspur.llm.names import GIVEN, INITIALS, KINDS, parsed
 from larkspur.llm.tries import edit_join
 from larkspur.session import checkpoint_ready
 
 KEY = ["class", "core", "legal", "given", "middle"]
 
 
-@F.pandas_udf(T.BooleanType())
-def given_match(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([given_agree(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _called(given: Column) -> Column:
+    """What a person's given name may be matched by: the full name, and the initials that may stand for it."""
+    usual = F.create_map(*[F.lit(x) for k in GIVEN for x in (k, ",".join(sorted(INITIALS[k])))])
+    initials = F.split(F.coalesce(F.try_element_at(usual, given), F.substring(given, 1, 1)), ",")
+    return F.when(F.length(given) > 1, F.concat(F.array(given), F.transform(initials, lambda x: F.concat(F.lit("i:"), x)))).otherwise(F.array(F.concat(F.lit("i:"), given)))
 
 
 def spellings(names: DataFrame, column: str) -> DataFrame:
-    """``(name, n, class, core, legal, given, middle, clean, group_id)`` of each distinct name with a word of its own."""
+    """``(name, n, class, core, legal, given, middle, clean, careful, group_id)`` of each distinct name with a word of its own."""
     distinct = names.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
     # Few long strings and costly to parse: spread over all tasks, whatever the size of the scan.
     spread = distinct.repartition(F.xxhash64("name"))
@@ -39,21 +40,25 @@ def candidates(groups: DataFrame) -> DataFrame:
     index = groups.select(F.col("class").alias("shard"), F.col("core").alias("key"))
     bare = groups.where("class = ''").select(F.explode(F.array(*map(F.lit, KINDS))).alias("shard"), F.col("core").alias("query"))
     near = edit_join(index, index.withColumnRenamed("key", "query").unionByName(bare))
-    a = groups.select(*[F.col(c).alias(f"a_{c}") for c in (*KEY, "group_id", "clean", "n")])
-    b = groups.select(*[F.col(c).alias(f"b_{c}") for c in (*KEY, "group_id", "clean", "n")])
+    named = groups.select(*[F.col(c) for c in (*KEY, "group_id", "clean", "careful", "n")])
+    named = named.withColumn("called", F.explode(F.when(F.col("class") == "person", _called(F.col("given"))).otherwise(F.array(F.lit("")))))
+    a, b = (named.select(*[F.col(c).alias(f"{s}_{c}") for c in named.columns]) for s in "ab")
+    # People of one surname meet by what they may be called, so that a common surname is no group of all its pairs.
     same = near.join(b, (F.col("shard") == F.col("b_class")) & (F.col("key") == F.col("b_core")))
-    same = same.join(a, (F.col("query") == F.col("a_core")) & ((F.col("shard") == F.col("a_class")) | (F.col("a_class") == "")))
+    same = same.join(a, (F.col("query") == F.col("a_core")) & (F.col("a_called") == F.col("b_called")) & ((F.col("shard") == F.col("a_class")) | (F.col("a_class") == "")))
     free = lambda x: (F.col(f"a_{x}") == F.col(f"b_{x}")) | (F.col(f"a_{x}") == "") | (F.col(f"b_{x}") == "")
     fits = same.where("a_group_id <> b_group_id").where((F.col("a_class") == F.col("b_class")) | F.col("a_class").eqNullSafe(""))
-    fits = fits.where(free("legal") & free("middle"))
-    return fits.where((F.col("b_class") != "person") | given_match("a_given", "b_given"))
+    # Two full given names must be equal; an initial only stands where one side has no more.
+    full = (F.length("a_given") > 1) & (F.length("b_given") > 1)
+    fits = fits.where(free("legal") & free("middle")).where(~full | (F.col("a_given") == F.col("b_given")))
+    return fits.drop("a_called", "b_called").dropDuplicates(["a_group_id", "b_group_id"])
 
 
 def parents(pairs: DataFrame) -> DataFrame:
     """``(group_id, parent)``: the best group that each group can be a misspelling of.
 
-    A parent ranks higher: written as the registry writes, complete, more rows. Two groups that are both written as the
-    registry writes are mostly different sponsors: among organisations they only join by one edit that isn't a plain
+    A parent ranks higher: well written and complete, more of its parts named, more rows. Two organisations that are both well
+    written, with as many parts, are mostly different sponsors: they only join by one edit that isn't a plain
     substitution; in words of nine letters or more by any one edit, or two that aren't. A name that lacks a part (kind, given or middle name) gets no parent where equally good ones differ.
     """
     full = lambda s: (F.col(f"{s}_class") != "").cast("int") + (F.col(f"{s}_legal") != "").cast("int") + (F.length(f"{s}_given") > 1).cast("int") + (F.col(f"{s}_middle") != "").cast("int")
@@ -64,7 +69,9 @@ def parents(pairs: DataFrame) -> DataFrame:
     long = F.least(F.length("a_core"), F.length("b_core")) >= 9
     moved = (F.length("a_core") != F.length("b_core")) | swapped
     typo = ((F.col("edits") == 1) & (moved | long)) | (long & moved)
-    above = above.where((F.col("b_class") == "person") | ~(F.col("a_clean") & F.col("b_clean")) | typo)
+    alike = (F.col("a_class") == F.col("b_class")) & ((F.col("a_legal") == "") == (F.col("b_legal") == ""))
+    careful = F.col("a_careful") & F.col("b_careful") & alike
+    above = above.where((F.col("b_class") == "person") | (F.col("edits") == 0) | ~careful | typo)
     lacking = (F.col("a_class") == "") | ((F.col("b_class") == "person") & ((F.col("a_middle") == "") | (F.length("a_given") <= 1)))
     goodness = F.struct(F.col("b_clean").cast("int").alias("c"), (-F.col("edits")).alias("e"), (F.col("a_legal") == F.col("b_legal")).cast("int").alias("l"))
     who = F.struct("b_class", F.when(F.col("b_class") == "person", F.struct("b_given", "b_middle")))
@@ -98,7 +105,7 @@ def clusters(names: DataFrame, column: str) -> DataFrame:
     """
     checkpoint_ready(names.sparkSession)
     spelled = spellings(names, column).checkpoint()
-    groups = spelled.groupBy("group_id", *KEY).agg(F.sum("n").alias("n"), F.max("clean").alias("clean"))
+    groups = spelled.groupBy("group_id", *KEY).agg(F.sum("n").alias("n"), F.max("clean").alias("clean"), F.max("careful").alias("careful"))
     at = roots(groups.select("group_id").checkpoint(), parents(candidates(groups).checkpoint()).checkpoint())
     return spelled.select("name", "group_id").join(at, "group_id").select("name", F.col("root").alias("cluster"))
 
