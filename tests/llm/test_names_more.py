@@ -60,3 +60,18 @@ def test_a_common_surname_does_not_pair_its_given_names(spark):
     found = [(r["a_given"], r["b_given"]) for r in variants.candidates(groups).collect()]
     assert {x for x in found if "b" in x} == {y for g in given if g[0] == "B" for y in ((g.lower(), "b"), ("b", g.lower()))} | {("robert", "b"), ("b", "robert")}
     assert all("b" in x or x[0] == x[1] for x in found)
+
+
+@pytest.mark.parametrize("most", [16, 1])
+def test_large_shards_by_first_letters_equal_brute_force(spark, monkeypatch, most):
+    for name, value in (("TRIE_ROWS", 10), ("QUERY_ROWS", 25), ("MOST_TRIES", most)):
+        monkeypatch.setattr(tries, name, value)
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(260)} | {"ab cdefg", "cdefg ab", "aa bb cc dd ee ff", "ff ee dd cc bb ax"})
+    index = spark.createDataFrame([("s", w) for w in words] + [("t", "aaaaaa"), ("s", None)], "shard string, key string")
+    limit = lambda n: 0 if n <= 3 else 1 if n <= 5 else 2
+    want = {("s", q, k) for q in words for k in words if edits(q, k, 2) <= min(limit(len(q)), limit(len(k)))} | {("t", "aaaaaa", "aaaaaa")}
+    want |= {("s", *p) for p in itertools.permutations(["ab cdefg", "cdefg ab"])} | {("s", *p) for p in itertools.permutations(["aa bb cc dd ee ff", "ff ee dd cc bb ax"])}
+    assert {(r["shard"], r["query"], r["key"]) for r in tries.edit_join(index, index.withColumnRenamed("key", "query")).collect()} == want
+    heads = tries.walk(["abcd", "abce", "zzzz"], ["abcdxy", "qabcd"], np.array([0, 1]), heads=True)
+    assert set(zip(heads[0].tolist(), heads[1].tolist(), strict=True)) == {(0, 0), (1, 0)}
