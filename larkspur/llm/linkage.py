@@ -94,20 +94,29 @@ def profiles(records: DataFrame) -> DataFrame:
     return r.withColumn("profile", F.xxhash64(*[x for c in fields for x in (F.col(c).isNull(), F.col(c))])).select("record_id", "profile", *fields)
 
 
+def _besides(state: str, city: str, core: str) -> Column:
+    """What else two sides may agree in: the state, the head of the city, the head of the name."""
+    parts = (F.concat(F.lit("s"), state), F.concat(F.lit("c"), F.substring(city, 1, 4)), F.concat(F.lit("n"), F.substring(core, 1, 2)))
+    return F.array_compact(F.array(*parts))
+
+
 def blocked(sides: DataFrame, attributes: DataFrame, called: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate ``(profile, entity)`` pairs of all passes, and the name pass's ``(shard, query, key, edits)``.
 
-    Passes: the same number; the same last four digits and kind of house; own words within the edit bound and one kind;
-    the same own words whatever the kind.
+    Passes: the same number; the same last four digits and kind of house, with the same state, beginning of the city or
+    beginning of the name, so that the few last digits there are make no large groups; own words within the edit bound and
+    one kind; the same own words whatever the kind.
     """
     index = called.where("core is not null").select(F.col("class").alias("shard"), F.col("core").alias("key")).distinct()
     asked = sides.where("core is not null").select("class", "core").distinct()
     bare = asked.where("class = ''").select(F.explode(F.array(*map(F.lit, KINDS))).alias("shard"), F.col("core").alias("query"))
     near = edit_join(index, asked.select(F.col("class").alias("shard"), F.col("core").alias("query")).unionByName(bare)).checkpoint()
-    p = sides.select("profile", "class", "core", "number", "tail").alias("p")
+    p = sides.select("profile", "class", "core", "number", "tail", _besides("state", "city", "core").alias("besides")).alias("p")
     by_number = p.where("number is not null").join(attributes.select("entity", "number"), "number").select("profile", "entity")
-    tails = attributes.where("number is not null").select("entity", F.substring(F.lpad(F.col("number").cast("string"), 10, "0"), -4, 4).alias("tail"))
-    by_tail = p.where("tail is not null").join(tails.join(called.select("entity", "class").distinct(), "entity"), ["tail", "class"]).select("profile", "entity")
+    tails = attributes.where("number is not null").select("entity", F.substring(F.lpad(F.col("number").cast("string"), 10, "0"), -4, 4).alias("tail"), "state", "city")
+    tails = tails.join(called.select("entity", "class", "core").distinct(), "entity").select("entity", "tail", "class", F.explode(_besides("state", "city", "core")).alias("beside")).distinct()
+    asking = p.where("tail is not null").select("profile", "tail", "class", F.explode("besides").alias("beside"))
+    by_tail = asking.join(tails, ["tail", "class", "beside"]).select("profile", "entity").distinct()
     hit = near.join(called.select("entity", F.col("class").alias("shard"), F.col("core").alias("key")), ["shard", "key"]).select("shard", "query", "entity").distinct()
     by_name = p.join(hit, (F.col("core") == F.col("query")) & ((F.col("class") == F.col("shard")) | (F.col("class") == ""))).select("profile", "entity")
     by_core = p.where("core is not null").join(called.select("entity", "core").distinct(), "core").select("profile", "entity")
