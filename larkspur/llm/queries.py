@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm import leakage, linkage, mixing, neighbours, reading, variants
-from larkspur.session import table
+from larkspur.session import spread, table
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +21,19 @@ def p1_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).select("record_id", "ticker", F.round("confidence", 6).alias("confidence"))
 
 
+def p1_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pass of equal numbers blocks together: records and companies under one whole filer number."""
+    number = lambda t, key, c: table(spark, sf, t).where(f"{key} is not null").select(key, linkage.number_of(F.col(c))[0].alias("number")).distinct()
+    return number("sponsor_records", "record_id", "cik_text").join(number("companies", "ticker", "cik"), "number")
+
+
+def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a text by source, in one way of writing, and the largest weight and cap wanted of it."""
+    docs = table(spark, sf, "documents").where("doc_id is not null and text <> ''").groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.count("*").alias("documents"))
+    wanted = table(spark, sf, "mix_targets").where("target_weight > 0 and max_repeats > 0").groupBy(mixing.source_key(F.col("source")).alias("source"))
+    return docs.join(wanted.agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats")), "source", "full_outer")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf, "trials"), "lead_sponsor")
 
@@ -72,6 +85,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels")).select("doc_id", "reading_level")
 
 
+def p8_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the documents with its frequency rank, the size of the smallest vocabulary that holds it."""
+    return reading.word_ranks(reading.with_words(spread(table(spark, sf, "documents"))))
+
+
 def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, words and mean sentence length per level."""
     levels = reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
@@ -81,12 +99,12 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_confidence": p1_confidence,
+    "p1_found": p1_found, "p1_confidence": p1_confidence, "p1_numbers": p1_numbers,
     "p3_found": p3_found, "p3_sponsors": p3_sponsors,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_items": p6_items,
-    "p7_draws": p7_draws, "p7_shares": p7_shares,
-    "p8_found": p8_found, "p8_profile": p8_profile,
+    "p7_draws": p7_draws, "p7_shares": p7_shares, "p7_sources": p7_sources,
+    "p8_found": p8_found, "p8_ranks": p8_ranks, "p8_profile": p8_profile,
 }
 _INLINE = r"</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|var)(?:\s[^<>]*)?/?>"
 _PLAIN = (
@@ -122,8 +140,20 @@ r AS (SELECT doc_id, item_id, max(n) AS run FROM (SELECT doc_id, item_id, s, isl
 y AS (SELECT doc_id, item_id, max(struct_pack(matched, span)) AS b FROM x GROUP BY ALL)
 SELECT doc_id, item_id, run::INT AS run, b.matched::INT AS matched, b.span::INT AS span FROM y JOIN r USING (doc_id, item_id) WHERE b.matched >= 8"""
 
+_DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
+_NUMBER = f"CASE WHEN NOT regexp_matches({{0}}, '\\.\\.|…|\\*|x{{{{2,}}}}') AND length({_DIGITS}) BETWEEN 5 AND 12 THEN nullif(try_cast({_DIGITS} AS BIGINT), 0) END"
+_SOURCE = "nullif(regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
+
 SQL: dict[str, str] = {
     "p6_overlaps": _OVERLAPS,
+    "p1_numbers": f"WITH r AS (SELECT DISTINCT record_id, {_NUMBER.format('cik_text')} AS number FROM sponsor_records), c AS (SELECT DISTINCT ticker, {_NUMBER.format('cik')} AS number FROM companies) "
+    "SELECT number, record_id, ticker FROM r JOIN c USING (number) WHERE record_id IS NOT NULL AND ticker IS NOT NULL",
+    "p7_sources": f"WITH d AS (SELECT {_SOURCE} AS source, count(*) AS documents FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY 1), "
+    f"w AS (SELECT {_SOURCE} AS source, max(target_weight) AS target_weight, max(max_repeats) AS max_repeats FROM mix_targets WHERE target_weight > 0 AND max_repeats > 0 GROUP BY 1) "
+    "SELECT coalesce(d.source, w.source) AS source, documents, target_weight, max_repeats FROM d FULL JOIN w ON d.source = w.source",
+    "p8_ranks": r"""WITH t AS (SELECT regexp_replace(regexp_replace(text, '<[/!?]?\p{L}[^<>]*>', ' ', 'g'), '&([a-zA-Z]+|#\d+);', ' ', 'g') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(t), '\p{L}+(?:[''’]\p{L}+)*')) AS word FROM t) GROUP BY 1)
+SELECT word, sum(count(*)) OVER (ORDER BY n DESC RANGE UNBOUNDED PRECEDING)::BIGINT AS rank FROM c GROUP BY word, n""".replace("\\\\", "\\"),
     "p6_found": f"{_LEAKS} SELECT * FROM l",
     "p6_items": f"{_LEAKS} SELECT item_id, count(*) AS documents FROM l GROUP BY 1",
     "p5_found": """
