@@ -1,21 +1,21 @@
 """Reading level of each document: how large a frequency-ranked vocabulary covers a fixed share of its words, and how
 complex its sentences are, calibrated against documents rated by people.
 
-The ranks come from the word counts of all documents. Everything but the last small equation is DataFrame work: the sums
-over the rated documents are aggregated in Spark, and the resulting linear scores are Column expressions again.
+The ranks come from the word counts of all documents. The calibration is a linear discriminant over the measures and their
+products: its sums over the rated documents are aggregated in Spark, and only its last small equation is solved outside.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from larkspur.llm.words import portions
 from larkspur.session import checkpoint_ready, shared_folder, spread
@@ -171,44 +171,73 @@ def _measured(batch: pa.RecordBatch, rank_of: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", *FEATURES, "english", "tail", "wanted"])
 
 
-def calibrate(features: DataFrame, ratings: DataFrame) -> dict[int, tuple[float, list[float]]]:
-    """Level -> (constant, one weight per feature) of a linear discriminant with a shared covariance.
+#: Which measures are multiplied for the terms of the discriminant: each with each, and with itself.
+PAIRS = tuple((i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES)))
+
+
+def _terms(rows: np.ndarray) -> np.ndarray:
+    """The measures of each row and all their products of two."""
+    return np.column_stack([rows, *[rows[:, i] * rows[:, j] for i, j in PAIRS]])
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per level: the number of rows, the sums of their terms, and the sums of products of two terms."""
+    held: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for level, part in pdf.groupby("level"):
+            t = _terms(part[list(FEATURES)].to_numpy())
+            held[level] = held.get(level, 0) + np.r_[len(t), t.sum(axis=0), (t.T @ t)[np.triu_indices(t.shape[1])]]
+    yield pd.DataFrame([(level, list(v)) for level, v in held.items()], columns=["level", "sums"])
+
+
+@dataclass
+class Model:
+    """A score per level: a constant and one weight per term."""
+
+    levels: list[int]
+    constants: np.ndarray
+    weights: np.ndarray
+
+
+def calibrate(features: DataFrame, ratings: DataFrame) -> Model | None:
+    """A linear discriminant with a shared covariance, over the measures and their products.
 
     features: ``doc_id`` and ``FEATURES``. ratings: ``doc_id, reading_level``; null ratings and documents whose ratings
-    disagree are left out, repeated ones count once. The counts, sums and products are aggregated in Spark; only they,
-    a few hundred numbers, reach the driver. Without any rating the result is empty.
+    disagree are left out, repeated ones count once. The counts, sums and products are partial sums of the tasks, added up
+    in SQL; only they, a few thousand numbers, reach the driver. Without any rating there is no model.
     """
     agreed = ratings.where("reading_level is not null").groupBy("doc_id").agg(F.min("reading_level").alias("level"), F.max("reading_level").alias("hi"))
-    rated = features.join(agreed.where("level = hi"), "doc_id")
-    p = len(FEATURES)
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)]
-    products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
-    rows = rated.groupBy("level").agg(F.count("*").alias("n"), *sums, *products).collect()
-    if not rows:
-        return {}
-    total = sum(r["n"] for r in rows)
-    means = {r["level"]: np.array([r[f"s{i}"] for i in range(p)]) / r["n"] for r in rows}
+    rated = features.join(agreed.where("level = hi"), "doc_id").select(F.col("level").cast("int").alias("level"), *FEATURES)
+    parts = rated.mapInPandas(_sums, "level int, sums array<double>").select("level", F.posexplode("sums").alias("at", "v"))
+    rows = parts.groupBy("level", "at").agg(F.sum("v").alias("v")).toPandas()
+    if rows.empty:
+        return None
+    table = rows.pivot(index="level", columns="at", values="v").sort_index()
+    p = len(FEATURES) + len(PAIRS)
+    n, sums, products = table.iloc[:, 0].to_numpy(), table.iloc[:, 1 : p + 1].to_numpy(), table.iloc[:, p + 1 :].to_numpy().sum(axis=0)
+    means, total = sums / n[:, None], n.sum()
     within = np.zeros((p, p))
-    for r in rows:
-        m = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        within += m - r["n"] * np.outer(means[r["level"]], means[r["level"]])
+    within[np.triu_indices(p)] = products
+    within = within + np.triu(within, 1).T - (means * n[:, None]).T @ means
     within /= total
-    # Shrunk toward its diagonal by p ratings' worth, so that few ratings still give a solvable equation.
+    # Shrunk toward its diagonal by as many ratings' worth as there are terms, so that few ratings still give a solvable equation.
     within += np.diag(np.diag(within) * p / (total + p) + 1e-9)
-    inverse = np.linalg.inv(within)
-    out = {}
-    for r in rows:
-        w = inverse @ means[r["level"]]
-        out[int(r["level"])] = (float(np.log(r["n"] / total) - 0.5 * means[r["level"]] @ w), [float(x) for x in w])
-    return out
+    weights = np.linalg.solve(within, means.T)
+    return Model([int(x) for x in table.index], np.log(n / total) - 0.5 * (means.T * weights).sum(axis=0), weights)
 
 
-def score(model: dict[int, tuple[float, list[float]]]) -> Column:
+def score(model: Model | None) -> Column:
     """The level with the highest score; equal scores go to the lower level. Null without a model."""
-    if not model:
+    if model is None:
         return F.lit(None).cast("int")
-    value = lambda b, w: reduce(lambda s, x: s + x, [F.lit(k) * F.col(c) for k, c in zip(w, FEATURES, strict=True)], F.lit(b))
-    return F.greatest(*[F.struct(value(b, w).alias("v"), F.lit(-level).alias("l")) for level, (b, w) in sorted(model.items())])["l"] * -1
+    levels = np.array(model.levels, np.int32)
+
+    @F.pandas_udf(T.IntegerType())
+    def best(*columns: pd.Series) -> pd.Series:
+        value = _terms(np.column_stack(columns)) @ model.weights + model.constants
+        return pd.Series(levels[np.argmax(value, axis=1)] if len(value) else np.empty(0, np.int32))
+
+    return best(*FEATURES)
 
 
 def reading_levels(documents: DataFrame, ratings: DataFrame, min_tokens: int = 40) -> DataFrame:
