@@ -56,4 +56,4 @@ def run_plan(plan: Plan, summary: DataFrame, vectors: DataFrame | None = None, e
     else:
         hits, limit = summary.where(F.lit(False)), None
     total = hits.agg(F.count("*").alias("matches"))
-    return ranked(hits, plan.sort_by, limit).join(F.broadcast(total))
+    return ranked(hits, plan.sort_by, limit).withColumn("matches", total.scalar())

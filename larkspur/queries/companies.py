@@ -44,7 +44,7 @@ def count_beside_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The ten companies with most active trials of those with a late-stage trial, and how many there are in all."""
     hits = CompanyFilter(has_phase3=True).apply(_summary(spark, sf))
     total = hits.agg(F.count("*").alias("matches"))
-    return op.ranked(hits, "active_trials", 10).join(F.broadcast(total)).select("ticker", "active_trials", "matches")
+    return op.ranked(hits, "active_trials", 10).withColumn("matches", total.scalar()).select("ticker", "active_trials", "matches")
 
 
 def pipeline_by(column: str):

@@ -64,7 +64,7 @@ def filter_sheet(spark: SparkSession, sf: str) -> DataFrame:
     total = hits.agg(F.count("*").alias("n"))
     line = F.concat(F.lit("- "), F.col("ticker"), F.lit(": "), F.col("active_trials").cast("string"), F.lit(" active of "), F.col("total_trials").cast("string"))
     header = F.concat(F.lit("Total companies matching: "), F.col("n").cast("string"), F.when(F.col("n") > 25, " (25 shown)").otherwise(""))
-    return op.ranked(hits, "active_trials", 25).join(F.broadcast(total)).select("ticker", line.alias("line"), header.alias("header"))
+    return op.ranked(hits, "active_trials", 25).withColumn("n", total.scalar()).select("ticker", line.alias("line"), header.alias("header"))
 
 
 def one_decimal_text(spark: SparkSession, sf: str) -> DataFrame:

@@ -111,8 +111,8 @@ def snapshot_replay(spark: SparkSession, sf: str) -> DataFrame:
     ok = table(spark, sf, "fetch_log").where((F.col("feed") == "registry") & (F.col("outcome") == "ok") & F.col("company_ticker").isNotNull())
     ok = ok.join(calendar.select("load_id", "seq"), "load_id").select("company_ticker", "seq").distinct()
     after = F.lead("seq").over(W.partitionBy("company_ticker").orderBy("seq"))
-    stands = ok.withColumn("after", after).crossJoin(F.broadcast(calendar.agg(F.max("seq").alias("newest"))))
-    stored = stands.join(rows, ["company_ticker", "seq"]).withColumn("seq", F.explode(F.sequence("seq", F.coalesce(F.col("after") - 1, "newest"))))
+    newest = F.lit(len(loads.starts) if loads.starts is not None else calendar.agg(F.max("seq")).first()[0])
+    stored = ok.withColumn("after", after).join(rows, ["company_ticker", "seq"]).withColumn("seq", F.explode(F.sequence("seq", F.coalesce(F.col("after") - 1, newest))))
     return stored.join(calendar.select("load_id", "seq"), "seq").select("load_id", "company_ticker", "n", "last_id")
 
 
