@@ -80,7 +80,8 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
     documents of small classes and a sample of large ones, weighted to the number of documents it stands for.
     """
     known = counted.where("source is not null")
-    number = F.coalesce(*[F.when(F.col("source") == x, F.lit(i)) for i, x in enumerate(names)], F.lit(len(names)))
+    at = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("source")).cast("int")
+    number = F.when(at > 0, at - 1).otherwise(F.lit(len(names)))
     # One row per wanted source and one for the rest.
     sizes = {r["c"]: r["n"] for r in known.groupBy(number.alias("c")).agg(F.count("*").alias("n")).collect()}
     classes = sorted(sizes)
@@ -91,7 +92,7 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
         share = [float(classes == [i]) for i in range(len(names))]
         return own.unionByName(unknown.select("doc_id", "source", "tokens", F.array(*map(F.lit, share)).alias("p")))
     parts = _fit_parts(sizes)
-    of = lambda value: F.coalesce(*[F.when(F.col("class") == c, F.lit(value(c))) for c in classes])
+    of = lambda value: F.get(F.array(*[F.lit(value(c) if c in classes else None) for c in range(len(names) + 1)]), F.col("class"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(HASH_PLACES))
     some = known.withColumn("class", number).where(place < of(lambda c: int(parts[c] * HASH_PLACES)))
     some = some.withColumns({"label": of(lambda c: float(classes.index(c))), "weight": of(lambda c: 1.0 / parts[c])})
@@ -105,8 +106,9 @@ def memberships(counted: DataFrame, names: list[str]) -> DataFrame:
     probability = vector_to_array("probability")
     # The model may have seen fewer classes than there are sources.
     at = {c: i for i, c in enumerate(classes) if i < model.numClasses}
-    p = F.array(*[probability[at[i]] if i in at else F.lit(0.0) for i in range(len(names))])
-    return own.unionByName(guessed.select("doc_id", "source", "tokens", p.alias("p")))
+    places = F.array(*[F.lit(at.get(i, -1)) for i in range(len(names))]).cast("array<int>")
+    p = F.transform(places, lambda k: F.when(k >= 0, F.get("probabilities", k)).otherwise(0.0))
+    return own.unionByName(guessed.withColumn("probabilities", probability).select("doc_id", "source", "tokens", p.alias("p")))
 
 
 def _fit_parts(sizes: dict[int, int]) -> dict[int, float]:
@@ -137,7 +139,7 @@ class Mix:
         expected = self.draws.agg(*sums, F.sum(F.col("tokens") * F.col("copies")).alias("total"))
         rows = spark.createDataFrame([(i, t["source"], float(t["weight"]), float(t["aim"])) for i, t in enumerate(self.targets)], "i int, source string, target_weight double, aimed_share double")
         by = self.draws.groupBy("source").agg(F.sum("tokens").alias("available"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn"), F.max("copies").alias("most_copies"))
-        both = rows.join(by, "source", "left").join(F.broadcast(expected))
+        both = rows.join(by, "source", "left").withColumn("all", expected.select(F.struct("*")).scalar()).select("*", "all.*")
         mine = F.coalesce(*[F.when(F.col("i") == i, F.col(f"e{i}")) for i in range(len(names))]) if names else F.lit(0.0)
         ratio = lambda x: F.round(F.coalesce(F.try_divide(x, F.col("total")), F.lit(0.0)), 6)
         return both.select(
@@ -164,12 +166,11 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     rows = wanted.groupBy("source").agg(F.max("target_weight").alias("weight"), F.max("max_repeats").alias("cap")).orderBy("source").collect()
     names = [r["source"] for r in rows]
     caps = np.array([float(r["cap"]) for r in rows])
-    docs = memberships(token_counts(documents, tokenizer), names).checkpoint()
+    docs = memberships(token_counts(documents, tokenizer), names)
     most = sum((F.col("p")[i] * float(c) for i, c in enumerate(caps)), F.lit(0.0))
     # A rate of at most so many whole copies, so that no draw exceeds them.
     likely = [F.when(F.col("p")[i] == F.array_max("p"), F.lit(float(c))) for i, c in enumerate(caps)]
-    whole = F.coalesce(*likely, F.lit(0.0))
-    docs = docs.withColumn("cap", F.least(most, whole))
+    docs = docs.withColumn("cap", F.least(most, F.coalesce(*likely, F.lit(0.0)))).checkpoint()
     weight = np.array([r["weight"] for r in rows], float)
     # All documents of a known source have one membership and cap, so they are one row here.
     shared = docs.where("source is not null").groupBy("p", "cap").agg(F.sum("tokens").alias("tokens"))

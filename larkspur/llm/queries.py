@@ -45,8 +45,9 @@ def p3_sponsors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _newest_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    trials, last = table(spark, sf, "trials"), table(spark, sf, "loads").agg(F.max("started_at").alias("last_start"))
-    return trials.join(F.broadcast(last), F.col("fetched_at") >= F.col("last_start")).select("id", F.col("embedding").alias("v"))
+    """Vectors from the newest load's start on; the bound is read first, so that it reaches the scan."""
+    last = table(spark, sf, "loads").agg(F.max("started_at")).first()[0]
+    return table(spark, sf, "trials").where(F.col("fetched_at") >= F.lit(last).cast("timestamp_ntz")).select("id", F.col("embedding").alias("v"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
