@@ -7,21 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from larkspur.functions.display import millions, short_money
 from larkspur.operators import companies as op
 from larkspur.operators.companies import CompanyFilter
+from larkspur.operators.snapshots import Calendar, load_calendar
 from larkspur.plans.screen import Plan, run_plan
 from larkspur.queries.history import _PHASES, _TOKEN, _states_sql
 from larkspur.session import table
 
 
-def _trials(spark: SparkSession, sf: str) -> DataFrame:
-    return op.current_trials(table(spark, sf, "trials"), table(spark, sf, "loads"), table(spark, sf, "fetch_log"))
+def _trials(spark: SparkSession, sf: str, calendar: Calendar | None = None) -> DataFrame:
+    return op.current_trials(table(spark, sf, "trials"), calendar or table(spark, sf, "loads"), table(spark, sf, "fetch_log"))
 
 
-def _figures(spark: SparkSession, sf: str) -> DataFrame:
-    return op.current_figures(table(spark, sf, "financials"), table(spark, sf, "loads"), table(spark, sf, "fetch_log"))
+def _figures(spark: SparkSession, sf: str, calendar: Calendar | None = None) -> DataFrame:
+    return op.current_figures(table(spark, sf, "financials"), calendar or table(spark, sf, "loads"), table(spark, sf, "fetch_log"))
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return op.company_summary(table(spark, sf, "companies"), _trials(spark, sf), _figures(spark, sf))
+    calendar = load_calendar(table(spark, sf, "loads"))
+    return op.company_summary(table(spark, sf, "companies"), _trials(spark, sf, calendar), _figures(spark, sf, calendar))
 
 
 def _raw_figures(spark: SparkSession, sf: str) -> DataFrame:
