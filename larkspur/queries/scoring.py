@@ -43,10 +43,9 @@ ASKED = {
 }
 
 
-def _true_of(rows: DataFrame) -> DataFrame:
-    """Company rows with what is true of them, ``(ticker, true)``, computed from study and figure rows apart from the
-    summary: one row per company, ``true`` an array of questions."""
-    t, f, c = rows
+def _true_of(t: DataFrame, f: DataFrame, c: DataFrame) -> DataFrame:
+    """Companies with what is true of them, ``(ticker, true)``, computed from study and figure rows apart from the summary:
+    one row per company, ``true`` an array of questions."""
     newest = f.where("value is not null").groupBy("ticker", "metric").agg(F.max_by("value", "fiscal_year").alias("value"))
     money = newest.groupBy("ticker").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in (("cash", "cash"), ("rd_expense", "rd"))])
     seen = t.groupBy("ticker").agg(F.bool_or(F.expr("phase like '%PHASE3%' or phase like '%PHASE4%'")).alias("late"), F.count_if(F.col("status").isin(*ACTIVE)).alias("active"))
@@ -68,7 +67,7 @@ def _marks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """
     t, f, c = _trials(spark, sf), _figures(spark, sf), table(spark, sf, "companies")
     told = company_summary(c, t, f).select("ticker", F.array_compact(F.array(*[F.when(x.condition(), q) for q, x in ASKED.items()])).alias("told"))
-    both = told.join(_true_of((t, f, c.select("ticker", "sector"))), "ticker")
+    both = told.join(_true_of(t, f, c.select("ticker", "sector")), "ticker")
     marks = both.select(F.explode(F.array_union("told", "true")).alias("question"), F.col("ticker").alias("item"), "told", "true")
     marks = marks.select("question", "item", F.array_contains("told", F.col("question")).alias("s"), F.array_contains("true", F.col("question")).alias("t"))
     return marks, spark.createDataFrame([(q,) for q in ASKED], "question string")
@@ -86,7 +85,7 @@ def mean_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def true_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The true companies of each question, from study and figure rows, and how many they are."""
-    rows = _true_of((_trials(spark, sf), _figures(spark, sf), table(spark, sf, "companies").select("ticker", "sector")))
+    rows = _true_of(_trials(spark, sf), _figures(spark, sf), table(spark, sf, "companies").select("ticker", "sector"))
     return rows.select(F.explode("true").alias("question"), "ticker").groupBy("question").agg(F.count("*").alias("n"), F.min("ticker").alias("first_ticker"), F.max("ticker").alias("last_ticker"))
 
 
